@@ -36,6 +36,13 @@ SYLLABLE = (
     f"|(?<![{VOWELS}])[{VOWELS}]++(?:[{CONSONANTS}]++|(?<![eE]))"
 )
 
+# From the start of a piece to its second mark: "=" then a digit or operator, or
+# the other way round.
+EQUATION = (
+    f"(?<![^{SENTENCE_ENDS}])[^{SENTENCE_ENDS}=0-9+\\-*/]*+"
+    f"(?:=[^{SENTENCE_ENDS}0-9+\\-*/]*+[0-9+\\-*/]|[0-9+\\-*/][^{SENTENCE_ENDS}=]*+=)"
+)
+
 FEATURES = (
     "words",
     "characters",
@@ -89,11 +96,7 @@ def syllable_count(text: Column) -> Column:
 
 def equation_count(text: Column) -> Column:
     """Sentence pieces with ``=`` and, beside it, a digit or arithmetic operator."""
-    pieces = F.filter(
-        F.split(text, f"[{SENTENCE_ENDS}]+"),
-        lambda s: s.contains("=") & s.rlike(r"[0-9+\-*/]"),
-    )
-    return F.when(text.contains("="), F.size(pieces)).otherwise(F.lit(0)).cast("long")
+    return F.when(text.contains("="), _count(text, EQUATION)).when(text.isNotNull(), F.lit(0)).cast("long")
 
 
 def alphabetic_tokens(text: Column) -> Column:

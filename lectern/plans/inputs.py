@@ -194,7 +194,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
             F.when((i == 4) & (k == 1), F.concat(tail, F.lit(" it is. "))).otherwise(""),
             F.when((i == 4) & (k == 0), F.concat(F.lit("It is 1,"), tail, F.lit(". "))).otherwise(""),
             text,
-            F.when(i % 12 == 4, "?").otherwise(""),
+            F.when((i % 12 == 4) & (F.col("doc_id") % 2 == 0), "?").otherwise(""),
         )
         learner = F.concat(
             F.lit(f"{LEARNER}: "),

@@ -236,7 +236,7 @@ lines AS (
       WHEN 0 THEN (CASE WHEN i % 12 = 0 THEN ' Hint: ' ELSE ' ' END)
         || (CASE WHEN i = 4 AND doc_id % 5 = 1 THEN {_TAIL_DOC} || ' it is. ' ELSE '' END)
         || (CASE WHEN i = 4 AND doc_id % 5 = 0 THEN 'It is 1,' || {_TAIL_DOC} || '. ' ELSE '' END)
-        || line || (CASE WHEN i % 12 = 4 THEN '?' ELSE '' END)
+        || line || (CASE WHEN i % 12 = 4 AND doc_id % 2 = 0 THEN '?' ELSE '' END)
       WHEN 2 THEN ' ' || line
         || (CASE WHEN i >= 6 AND doc_id % 5 <> 2 THEN ' I get 1,' || {_TAIL_DOC} ELSE '' END)
       ELSE line || (CASE WHEN i = 1 AND doc_id % 5 = 1 THEN ' so 1' ELSE '' END) END AS line
@@ -522,24 +522,26 @@ FROM m o JOIN m a ON a.feature = o.feature AND a.event_type = 'click' WHERE o.ev
 ORACLE["acceptance_summary"] = (
     _TRANSCRIPTS
     + ","
-    + _CELLS.strip().removeprefix("WITH")
+    + _features().strip().removeprefix("WITH")
     + ","
     + _PROBLEMS.strip().removeprefix("WITH")
-    + f""", answers AS (
-  SELECT 'src' || (p_partkey % 20) AS source,
-         bool_and(coalesce(error IS NULL AND {_CLOSE.format(a='answer', b='expected')}, false)) AS answers_ok
-  FROM checked GROUP BY 1),
-calipers AS (
-  SELECT o.source, bool_and(coalesce(abs(o.duration_seconds - a.duration_seconds) / a.duration_seconds <= 0.1, false)) AS caliper_ok
-  FROM cells o LEFT JOIN cells a ON a.source = o.source AND a.lang = 'en' WHERE o.lang <> 'en' GROUP BY o.source),
+    + f""", anchors AS (
+  SELECT source, avg(duration_seconds) AS d, avg(fk_grade) AS g FROM f WHERE lang = 'en' GROUP BY source),
+measured AS (
+  SELECT doc_id, coalesce(abs(duration_seconds - d) / nullif(d, 0) <= 0.1, false) AS caliper_ok,
+         abs(fk_grade - g) > 1.0 AS readability_flagged
+  FROM f LEFT JOIN anchors USING (source) WHERE lang <> 'en'),
+answers AS (
+  SELECT p_partkey AS doc_id,
+         coalesce(error IS NULL AND {_CLOSE.format(a='answer', b='expected')}, false) AS answers_ok
+  FROM checked),
 talked AS (
-  SELECT source, NOT bool_or(condition = 'ai_scaffolding' AND coalesce(leaked, false)) AS no_leak,
-         bool_and(coalesce(policy_ok, true)) AS policy_ok
-  FROM policies WHERE condition <> 'traditional' GROUP BY source),
-spreads AS (SELECT source, max(fk_grade) - min(fk_grade) > 1.0 AS readability_flagged FROM cells GROUP BY source)
-SELECT source, answers_ok, caliper_ok, no_leak, policy_ok, readability_flagged,
-  coalesce(answers_ok, false) AND coalesce(caliper_ok, false) AND coalesce(no_leak, false)
+  SELECT doc_id, NOT (condition = 'ai_scaffolding' AND coalesce(leaked, false)) AS no_leak,
+         coalesce(policy_ok, true) AS policy_ok
+  FROM policies WHERE condition <> 'traditional')
+SELECT doc_id, answers_ok, caliper_ok, no_leak, policy_ok, readability_flagged,
+  answers_ok AND coalesce(caliper_ok, false) AND coalesce(no_leak, false)
     AND coalesce(policy_ok, false) AS accepted
-FROM answers LEFT JOIN calipers USING (source) LEFT JOIN talked USING (source) LEFT JOIN spreads USING (source)
+FROM answers LEFT JOIN measured USING (doc_id) LEFT JOIN talked USING (doc_id)
 """
 )

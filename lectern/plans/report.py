@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.errors import QUARANTINE
@@ -48,15 +48,28 @@ def dialogue_checks(stimuli: DataFrame, units: DataFrame, anchor: str = TRADITIO
     )
 
 
+def measure(stimuli: DataFrame, mode: str = QUARANTINE) -> DataFrame:
+    """Features of loaded stimuli; worked examples are taken from their front matter."""
+    bodies = stimuli.withColumnRenamed("example_count", "declared_examples")
+    featured = with_text_features(bodies, "body", F.col("declared_examples"), mode=mode)
+    return featured.drop("declared_examples")
+
+
 def report_tables(
-    units: DataFrame, stimuli: DataFrame, anchor: str = TRADITIONAL, mode: str = QUARANTINE
+    units: DataFrame,
+    stimuli: DataFrame,
+    featured: DataFrame | None = None,
+    anchor: str = TRADITIONAL,
+    mode: str = QUARANTINE,
 ) -> dict[str, DataFrame]:
     """All sections as lazy frames; nothing runs until one is read.
 
     ``stimuli`` is the output of :func:`lectern.sources.front_matter.load_stimuli`.
+    Five sections read features: pass ``featured``, read back from a written
+    feature table, and the texts are measured once for all of them.
     """
-    bodies = stimuli.withColumnRenamed("example_count", "declared_examples")
-    featured = with_text_features(bodies, "body", F.col("declared_examples"), mode=mode)
+    if featured is None:
+        featured = measure(stimuli, mode)
     cells = M.condition_cells(featured, FEATURES, _UNIT, _CONDITION)
     audit = audit_units(units, mode=mode)
     deltas = M.anchor_deltas(cells, FEATURES, _UNIT, _CONDITION, anchor, mode)
@@ -76,33 +89,49 @@ def report_tables(
         "smd": smd,
         "dialogue": dialogue,
         "readability": spread,
-        "acceptance": acceptance(audit, caliper, dialogue, spread),
+        "acceptance": acceptance(
+            _UNIT,
+            audit.groupBy(_UNIT).agg(F.bool_and("ok").alias("answers_ok")),
+            matching_gates(cells, _UNIT, _CONDITION, anchor),
+            dialogue_gates(dialogue, _UNIT),
+        ),
     }
 
 
-def acceptance(
-    audit: DataFrame, caliper: DataFrame, dialogue: DataFrame, spread: DataFrame, unit: str = _UNIT
-) -> DataFrame:
-    """One row per unit. Every side is reduced to one row per unit before it is joined.
+def matching_gates(cells: DataFrame, unit: str, condition: str, anchor: str) -> DataFrame:
+    """Caliper gate and readability flag per unit, in one pass over its condition cells."""
+    near = Window.partitionBy(unit)
+    is_anchor = F.col(condition) == anchor
+    goal = F.max(F.when(is_anchor, F.col("duration_seconds"))).over(near)
+    _, passed, _ = M.caliper(F.col("goal"), F.col("duration_seconds"), M.CALIPER_TOLERANCE)
+    fits = F.coalesce(passed, F.lit(False)) | is_anchor
+    spread = F.max("fk_grade") - F.min("fk_grade")
+    return (
+        cells.withColumn("goal", goal)
+        .groupBy(unit)
+        .agg(
+            F.bool_and(fits).alias("caliper_ok"),
+            (spread > F.lit(M.READABILITY_SPREAD)).alias("readability_flagged"),
+        )
+    )
+
+
+def dialogue_gates(dialogue: DataFrame, unit: str) -> DataFrame:
+    """No scaffolded leak, and every reveal policy kept, per unit."""
+    leak = (F.col("condition") == SCAFFOLDING) & F.coalesce("leaked", F.lit(False))
+    return dialogue.groupBy(unit).agg(
+        (~F.bool_or(leak)).alias("no_leak"),
+        F.bool_and(F.coalesce("policy_ok", F.lit(True))).alias("policy_ok"),
+    )
+
+
+def acceptance(unit: str, answers: DataFrame, matching: DataFrame, dialogue: DataFrame) -> DataFrame:
+    """One row per unit from sides that hold one row per unit each.
 
     A readability flag is reported but rejects nothing.
     """
-    fits = F.coalesce(F.col("passed"), F.lit(False))
-    scaffolded_leak = (F.col("condition") == SCAFFOLDING) & F.coalesce("leaked", F.lit(False))
-    sides = [
-        audit.groupBy(unit).agg(F.bool_and("ok").alias("answers_ok")),
-        caliper.groupBy(unit).agg(F.bool_and(fits).alias("caliper_ok")),
-        dialogue.groupBy(unit).agg(
-            (~F.bool_or(scaffolded_leak)).alias("no_leak"),
-            F.bool_and(F.coalesce("policy_ok", F.lit(True))).alias("policy_ok"),
-        ),
-        spread.select(unit, F.col("flagged").alias("readability_flagged")),
-    ]
-    out = sides[0]
-    for side in sides[1:]:
-        out = out.join(side, unit, "left")
-    gates = ("answers_ok", "caliper_ok", "no_leak", "policy_ok")
+    out = answers.join(matching, unit, "left").join(dialogue, unit, "left")
     accepted = F.lit(True)
-    for gate in gates:
+    for gate in ("answers_ok", "caliper_ok", "no_leak", "policy_ok"):
         accepted = accepted & F.coalesce(F.col(gate), F.lit(False))
     return out.withColumn("accepted", accepted)

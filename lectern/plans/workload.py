@@ -20,7 +20,7 @@ from lectern.operators import matching as M
 from lectern.operators import validators as V
 from lectern.operators.audit import REFERENCE_THRESHOLD, audit_units, correctness_gate
 from lectern.plans import inputs as I
-from lectern.plans.report import acceptance
+from lectern.plans.report import acceptance, dialogue_gates
 from lectern.session import scratch_path
 from lectern.sources.front_matter import coerce, with_front_matter, with_known_keys
 from lectern.sources.sinks import skip_existing
@@ -412,18 +412,27 @@ def turn_label_counts(spark, sf):
 
 @query("acceptance_summary")
 def acceptance_summary(spark, sf):
-    """Gates per source: its parts' answers, its texts' calipers, dialogues and grades."""
+    """Every part is a unit whose problem must validate and whose text is the document
+    of the same number, measured against its source's anchor."""
     parts = V.check_answers(I.part_problems(spark, sf)).select(
-        F.concat(F.lit("src"), F.col("p_partkey") % 20).alias(UNIT),
-        F.coalesce("passed", F.lit(False)).alias("ok"),
+        F.col("p_partkey").alias("doc_id"), F.coalesce("passed", F.lit(False)).alias("answers_ok")
+    )
+    texts = I.featured(spark, sf).select("doc_id", UNIT, CONDITION, "duration_seconds", "fk_grade")
+    anchors = M.anchors_of(texts, ["duration_seconds", "fk_grade"], UNIT, CONDITION, ANCHOR)
+    others = texts.filter(F.col(CONDITION) != ANCHOR).join(anchors, UNIT, "left")
+    _, passed, _ = M.caliper(
+        F.col("anchor_duration_seconds"), F.col("duration_seconds"), M.CALIPER_TOLERANCE
+    )
+    gap = F.abs(F.col("fk_grade") - F.col("anchor_fk_grade"))
+    measured = others.select(
+        "doc_id",
+        F.coalesce(passed, F.lit(False)).alias("caliper_ok"),
+        (gap > M.READABILITY_SPREAD).alias("readability_flagged"),
     )
-    cells = _cells(spark, sf, ["duration_seconds", "fk_grade"])
-    anchors = M.anchors_of(cells, ["duration_seconds"], UNIT, CONDITION, ANCHOR)
-    caliper = M.duration_caliper(cells.filter(F.col(CONDITION) != ANCHOR), anchors, UNIT)
     talks = _read_transcripts(spark, sf).filter(F.col("condition") != TU.TRADITIONAL)
     policy = TU.follows_policy(F.col("condition"), F.col("labels"), F.col("leaked"))
-    spread = M.readability_spread(cells, UNIT, CONDITION)
-    return acceptance(parts, caliper, talks.withColumn("policy_ok", policy), spread, UNIT)
+    gates = dialogue_gates(talks.withColumn("policy_ok", policy), "doc_id")
+    return acceptance("doc_id", parts, measured, gates)
 
 
 # ---------------------------------------------------------------- matrices and series
