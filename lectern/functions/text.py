@@ -152,7 +152,7 @@ def normalize_numbers(text: Column) -> Column:
 
 def whitespace_words(text: Column) -> Column:
     """Number of pieces ``str.split()`` would return."""
-    return _count(text, rf"[^{BLANKS}\n]+")
+    return _count(text, rf"[!-~[^{BLANKS}\n]]++")
 
 
 def in_word_band(text: Column, target: float = 430.0, tolerance: float = 0.15) -> Column:

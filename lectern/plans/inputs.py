@@ -108,7 +108,7 @@ def part_problems(spark: SparkSession, sf: str) -> DataFrame:
         name = F.when(here, validator).otherwise(name)
         params = F.when(here, _params(*asked)).otherwise(params)
         answer = F.when(here, _stated()[validator]).otherwise(answer)
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         "p_partkey",
         name.alias("validator"),
         params.alias("params"),
@@ -155,7 +155,7 @@ def part_unit_json(spark: SparkSession, sf: str) -> DataFrame:
             "price_for_break_even_quantity", asked["price_for_break_even_quantity"], slip=True
         ).alias("far_transfer"),
     )
-    return table(spark, sf, "part").select(F.to_json(unit).alias("json"))
+    return spread(table(spark, sf, "part")).select(F.to_json(unit).alias("json"))
 
 
 # ---------------------------------------------------------------- dialogues

@@ -21,7 +21,7 @@ from lectern.operators import validators as V
 from lectern.operators.audit import REFERENCE_THRESHOLD, audit_units, correctness_gate
 from lectern.plans import inputs as I
 from lectern.plans.report import acceptance, dialogue_gates
-from lectern.session import scratch_path
+from lectern.session import few_splits, scratch_path
 from lectern.sources.front_matter import coerce, with_front_matter, with_known_keys
 from lectern.sources.sinks import skip_existing
 from lectern.sources.stimuli import fk_violations, key_violations, stimuli_index
@@ -341,9 +341,11 @@ def incremental_anti_load(spark, sf):
 @query("stream_features")
 def stream_features(spark, sf):
     """The documents through the streaming job, read back from its sink."""
-    schema = I.table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet")
+    batch = I.table(spark, sf, "documents")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/documents*.parquet")
     texts = stream.select("doc_id", "text", UNIT, CONDITION)
+    n = few_splits(batch)
+    texts = texts.repartition(n) if n else texts
     out = scratch_path(spark, "stream-features")
     run_available(X.with_text_features(texts, "text", F.lit(1)), f"{out}/table", f"{out}/checkpoint")
     return _featured_output(spark.read.parquet(f"{out}/table"))

@@ -51,14 +51,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores.
+def few_splits(scan: DataFrame, tasks_per_core: int = 2) -> int:
+    """Number of partitions to repartition a scan to, or 0 if it has enough of its own.
 
-    A few large files with one row group each would otherwise run the text
-    expressions on a handful of tasks. A scan with enough splits is returned
-    untouched, so no shuffle of the text happens at scale.
+    A few large files with one row group each would run the text expressions on a
+    handful of tasks. At scale a scan has far more splits than there are cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= tasks_per_core * cores:
-        return df
-    return df.repartition(tasks_per_core * cores)
+    wanted = tasks_per_core * scan.sparkSession.sparkContext.defaultParallelism
+    return wanted if scan.rdd.getNumPartitions() < wanted else 0
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan with too few splits; others are returned untouched."""
+    n = few_splits(scan)
+    return scan.repartition(n) if n else scan
