@@ -16,17 +16,28 @@ def parcel_means(
 ) -> DataFrame:
     """Mean over the vertices of each parcel, per row of a response matrix.
 
-    ``atlas`` maps ``vertex`` (array position) to ``parcel``. A row's vertices sit
-    in one task, so its means are formed there before anything is shuffled.
+    ``atlas`` maps every ``vertex`` (array position, from 0) to a ``parcel``. It is
+    as long as one row's array, so it travels as one array in a scalar subquery and
+    the matrix is not shuffled to meet it. A row's vertices sit in one task, where
+    its means are formed before anything moves.
     """
+    ordered = F.sort_array(F.collect_list(F.struct("vertex", "parcel")))
+    gaps = F.size(F.filter("a", lambda x, i: x.vertex != i)) > 0
+    parcels = F.transform("a", lambda x: x.parcel)
+    refused = F.raise_error(F.lit("atlas vertices are not 0, 1, 2, ...")).cast(_array_of(atlas))
+    lookup = atlas.agg(ordered.alias("a")).select(F.when(gaps, refused).otherwise(parcels)).scalar()
     long = matrix.select(*keys, F.posexplode(values).alias("vertex", "value"))
     return (
-        long.join(atlas.select("vertex", "parcel"), "vertex")
+        long.withColumn("parcel", F.get(lookup, F.col("vertex")))
         .groupBy(*keys, "parcel")
         .agg(F.avg(F.col("value").cast("double")).alias("mean_value"))
     )
 
 
+def _array_of(atlas: DataFrame) -> str:
+    return f"array<{atlas.schema['parcel'].dataType.simpleString()}>"
+
+
 def decayed_total(
     events: DataFrame,
     key: str,

@@ -245,30 +245,31 @@ def feature_covariance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
+def invert_covariance(cov: np.ndarray, n: int, min_units: int) -> tuple[np.ndarray | None, str | None]:
+    """``(inverse, error)`` of one covariance matrix estimated from ``n`` rows."""
+    if n < min_units:
+        return None, "min_units"
+    scale = np.sqrt(np.diag(cov))
+    if not np.isfinite(cov).all() or (scale == 0).any():
+        return None, "singular_covariance"
+    # Rank is judged on the correlation matrix, free of units.
+    if np.linalg.matrix_rank(cov / np.outer(scale, scale), tol=1e-9) < len(cov):
+        return None, "singular_covariance"
+    return np.linalg.inv(cov), None
+
+
 def _inverse_udf(p: int, min_units: int):
-    """Pandas UDF for the one row that holds the covariance matrix."""
+    """Pandas UDF for the one row that holds the covariance triangle."""
 
     @F.pandas_udf("inverse array<double>, error string")
     def invert(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for counts, triangles in batches:
             out = []
             for n, triangle in zip(counts, triangles):
-                if n < min_units:
-                    out.append((None, "min_units"))
-                    continue
                 cov = np.zeros((p, p))
                 cov[np.triu_indices(p)] = triangle
-                cov = np.triu(cov) + np.triu(cov, 1).T
-                scale = np.sqrt(np.diag(cov))
-                # Rank is judged on the correlation matrix, free of units.
-                if (
-                    not np.isfinite(cov).all()
-                    or (scale == 0).any()
-                    or np.linalg.matrix_rank(cov / np.outer(scale, scale), tol=1e-9) < p
-                ):
-                    out.append((None, "singular_covariance"))
-                    continue
-                out.append((np.linalg.inv(cov).ravel().tolist(), None))
+                inverse, error = invert_covariance(cov + np.triu(cov, 1).T, n, min_units)
+                out.append((None if inverse is None else inverse.ravel().tolist(), error))
             yield pd.DataFrame(out, columns=["inverse", "error"])
 
     return invert

@@ -500,6 +500,11 @@ FROM tutored GROUP BY condition""",
 SELECT vec_id, (i % 8)::BIGINT AS parcel, round(avg(x::DOUBLE), 6) AS mean_value
 FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
 GROUP BY vec_id, i % 8
+""",
+    "vector_covariance": """
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 8) + 0.0 AS covariance, count(*) AS n
+FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i
 """,
     "decayed_totals": """
 WITH r AS (SELECT user_id, value * length(event_type) AS g,

@@ -18,6 +18,7 @@ from lectern.operators import accumulation as A
 from lectern.operators import dialogue as D
 from lectern.operators import matching as M
 from lectern.operators import validators as V
+from lectern.operators import vectors
 from lectern.operators.audit import REFERENCE_THRESHOLD, audit_units, correctness_gate
 from lectern.plans import inputs as I
 from lectern.plans.report import acceptance, dialogue_gates
@@ -442,13 +443,30 @@ def acceptance_summary(spark, sf):
 
 @query("parcel_means")
 def parcel_means(spark, sf):
-    vectors = I.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("values"))
-    vertices = vectors.select(F.posexplode("values").alias("vertex", "_")).select("vertex").distinct()
+    matrix = I.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("values"))
+    width = matrix.agg(F.max(F.size("values")).alias("n"))
+    vertices = width.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("vertex"))
     atlas = vertices.withColumn("parcel", F.col("vertex").cast("long") % 8)
-    out = A.parcel_means(vectors, atlas, ["vec_id"])
+    out = A.parcel_means(matrix, atlas, ["vec_id"])
     return out.withColumn("mean_value", F.round("mean_value", 6))
 
 
+@query("vector_covariance")
+def vector_covariance(spark, sf):
+    out = vectors.vector_covariance(I.table(spark, sf, "embeddings"), "embedding")
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return out.withColumn("covariance", F.round("covariance", 8) + 0.0)
+
+
+@query("vector_mahalanobis")
+def vector_mahalanobis(spark, sf):
+    """Every vector of the other labels from the mean vector of label 0."""
+    out = vectors.mahalanobis_to_mean(
+        I.table(spark, sf, "embeddings"), "embedding", F.col("label") == 0
+    )
+    return out.select("vec_id", "label", F.round("distance", 6).alias("distance"), "error")
+
+
 @query("decayed_totals")
 def decayed_totals(spark, sf):
     gain = F.col("value") * F.length("event_type").cast("double")
