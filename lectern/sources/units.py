@@ -78,7 +78,8 @@ def units_index(units: DataFrame) -> DataFrame:
 
 
 def write_units_index(units: DataFrame, path: str) -> None:
-    units_index(units).write.mode("overwrite").option("header", True).csv(path)
+    """The index as CSV with a header, quotes inside a value doubled; replaces the target."""
+    units_index(units).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def _row(name: str, problem: str, answer: Column, expect_pass: bool) -> Column:
