@@ -35,11 +35,14 @@ def build_session(app: str = "lectern", master: str | None = None, cores: int |
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, one machine) is a local folder made.
+    Only a local session that names none (tests) gets a folder of its own; a
+    machine's own folder would be lost on a cluster.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     app_id = spark.sparkContext.applicationId
     if app_id not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app_id] = tempfile.mkdtemp(prefix="spark-")
