@@ -28,14 +28,14 @@ FK_OFFSET = 15.59
 
 WORD = f"[{WORD_CHARS}]+"
 SENTENCE = f"[^{SENTENCE_ENDS}{BLANKS}][^{SENTENCE_ENDS}]*"
-# One match per syllable: each word's opening consonants, vowels and consonants,
-# then each later vowel run unless it closes the word with an "e".
+# One match per syllable of a text framed by " " and " a" (the last match is the
+# frame's own). Inside a word: a vowel run with the consonants after it, or one that
+# ends the word unless on "e". Between words: a silent run left over, the gap, and
+# the next word's opening consonants, vowels and consonants.
 SYLLABLE = (
-    f"(?<![{LETTERS}])(?:[{CONSONANTS}]++[{VOWELS}]*+[{CONSONANTS}]*+"
-    f"|[{VOWELS}]++[{CONSONANTS}]*+)"
-    f"|(?<![{VOWELS}])[{VOWELS}]++(?:[{CONSONANTS}]++|(?<![eE]))"
+    f"[{VOWELS}]++(?:[{CONSONANTS}]++|(?<![eE]))"
+    f"|[{VOWELS}]*+[^{LETTERS}]++[{CONSONANTS}]*+[{VOWELS}]*+[{CONSONANTS}]*+"
 )
-
 # From the start of a piece to its second mark: "=" then a digit or operator, or
 # the other way round.
 EQUATION = (
@@ -91,7 +91,8 @@ def syllable_count(text: Column) -> Column:
     Digits and apostrophes are dropped first, so the letters on both sides of
     them join as they do inside one word.
     """
-    return _count(F.regexp_replace(text, "[0-9']+", ""), SYLLABLE)
+    letters = F.regexp_replace(text, "[0-9']+", "")
+    return _count(F.concat(F.lit(" "), letters, F.lit(" a")), SYLLABLE) - 1
 
 
 def equation_count(text: Column) -> Column:

@@ -43,7 +43,6 @@ def decayed_total(
     key: str,
     order: Sequence[str],
     gain: Column,
-    block: Column,
     delta: float,
     eta: float,
     start: float = 0.0,
@@ -51,26 +50,27 @@ def decayed_total(
     """Final state of ``n <- (1 - delta) * n + eta * gain`` per key, in event order.
 
     The fold is linear, so an event counts with ``(1 - delta)`` to the number of
-    events after it. Events are ranked inside ``block`` (a coarse, order-preserving
-    value such as the hour), and blocks are summarised to a count and a sum before
-    they meet per key: a key that holds most events is never gathered.
+    events after it. Events are range-partitioned by key and order, which cuts a
+    key with most of the events over many tasks; each task's piece of a key is
+    ranked and summed to a count and a number, and pieces, numbered in range
+    order, meet per key.
     """
     keep = F.lit(1.0 - delta)
-    inside = Window.partitionBy(key, "block").orderBy(*[F.col(c).desc() for c in order])
-    ranked = events.withColumn("block", block).select(
-        key,
-        "block",
-        (F.lit(eta) * gain).alias("x"),
-        (F.row_number().over(inside) - 1).alias("later"),
+    pieces = (
+        events.select(key, *order, (F.lit(eta) * gain).alias("x"))
+        .repartitionByRange(key, *order)
+        .withColumn("piece", F.spark_partition_id())
     )
-    blocks = ranked.groupBy(key, "block").agg(
+    inside = Window.partitionBy(key, "piece").orderBy(*[F.col(c).desc() for c in order])
+    ranked = pieces.withColumn("later", F.row_number().over(inside) - 1)
+    sums = ranked.groupBy(key, "piece").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("x") * F.pow(keep, F.col("later"))).alias("x"),
     )
-    after = Window.partitionBy(key).orderBy(F.col("block").desc()).rowsBetween(
+    after = Window.partitionBy(key).orderBy(F.col("piece").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    placed = blocks.withColumn("later", F.coalesce(F.sum("n").over(after), F.lit(0)))
+    placed = sums.withColumn("later", F.coalesce(F.sum("n").over(after), F.lit(0)))
     return placed.groupBy(key).agg(
         F.sum("n").alias("n_events"),
         (

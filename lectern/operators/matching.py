@@ -133,10 +133,7 @@ def duration_caliper(
 
 
 def group_moments(df: DataFrame, features: Sequence[str], group: str) -> DataFrame:
-    """Count, mean and sample variance per group and feature, in long form.
-
-    One wide aggregation; only its result, one row per group, is reshaped.
-    """
+    """Count, mean and sample variance of every feature: one wide row per group."""
     aggs = []
     for f in features:
         x = F.col(f).cast("double")
@@ -145,18 +142,7 @@ def group_moments(df: DataFrame, features: Sequence[str], group: str) -> DataFra
             F.avg(x).alias(f"mean_{f}"),
             F.var_samp(x).alias(f"var_{f}"),
         ]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.col(f"n_{f}").alias("n"),
-                F.col(f"mean_{f}").alias("mean"),
-                F.col(f"var_{f}").alias("var"),
-            )
-            for f in features
-        ]
-    )
-    return df.groupBy(group).agg(*aggs).select(group, F.explode(rows).alias("r")).select(group, "r.*")
+    return df.groupBy(group).agg(*aggs)
 
 
 def standardized_mean_differences(
@@ -170,17 +156,26 @@ def standardized_mean_differences(
     """(anchor mean - condition mean) over the pooled deviation, per feature.
 
     ``units`` holds one row per unit and condition. Refused with a code when a
-    group is smaller than ``min_units`` or the pooled deviation is zero.
+    group is smaller than ``min_units`` or the pooled deviation is zero. The
+    anchor's one row of moments comes as a scalar subquery: both sides read their
+    own conditions only, and any number of conditions may be compared.
     """
     moments = group_moments(units, features, condition)
-    by_feature = Window.partitionBy("feature")
-    is_anchor = F.col(condition) == anchor
-    for stat in ("n", "mean", "var"):
-        moments = moments.withColumn(
-            f"{stat}_anchor", F.max(F.when(is_anchor, F.col(stat))).over(by_feature)
-        )
-    pooled = F.sqrt((F.col("var_anchor") + F.col("var")) / 2)
-    staged = moments.filter(~is_anchor).withColumn("pooled", pooled)
+    goal = moments.filter(F.col(condition) == anchor).select(F.struct("*")).scalar()
+    others = moments.filter(F.col(condition) != anchor).withColumn("goal", goal)
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.col(f"goal.n_{f}").alias("n_anchor"),
+                F.col(f"n_{f}").alias("n"),
+                (F.col(f"goal.mean_{f}") - F.col(f"mean_{f}")).alias("difference"),
+                F.sqrt((F.col(f"goal.var_{f}") + F.col(f"var_{f}")) / 2).alias("pooled"),
+            )
+            for f in features
+        ]
+    )
+    staged = others.select(condition, F.explode(rows).alias("r")).select(condition, "r.*")
     error = first_error(
         ("no_anchor", F.col("n_anchor").isNull()),
         ("min_units", (F.col("n") < min_units) | (F.col("n_anchor") < min_units)),
@@ -191,9 +186,7 @@ def standardized_mean_differences(
         "feature",
         "n_anchor",
         "n",
-        guarded((F.col("mean_anchor") - F.col("mean")) / F.col("pooled"), F.col("error")).alias(
-            "smd"
-        ),
+        guarded(F.col("difference") / F.col("pooled"), F.col("error")).alias("smd"),
         "error",
     )
     return enforce(out, mode)

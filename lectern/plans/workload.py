@@ -472,7 +472,7 @@ def decayed_totals(spark, sf):
     gain = F.col("value") * F.length("event_type").cast("double")
     out = A.decayed_total(
         I.table(spark, sf, "events"), "user_id", ["ts", "event_id"], gain,
-        F.date_trunc("hour", "ts"), delta=0.1, eta=0.5, start=1.0,
+        delta=0.1, eta=0.5, start=1.0,
     )
     return out.withColumn("state", F.round("state", 6))
 

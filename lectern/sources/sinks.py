@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import FEATURES
+from lectern.session import scratch_path
 
 _BUCKETS = 64
 
@@ -26,10 +29,27 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.partitionBy("condition").parquet(path)
 
 
-def skip_existing(new: DataFrame, written: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``written``."""
+def skip_existing(
+    new: DataFrame, written: DataFrame, key: str | Sequence[str], broadcast_keys: int = 1_000_000
+) -> DataFrame:
+    """Rows of ``new`` whose key is not in ``written``; rows without a key are kept.
+
+    The keys are compared first, without the payload, and the missing ones written
+    to the shared folder. If they are few, their counted list is broadcast and the
+    payload is filtered where it lies; otherwise most of the payload is needed and
+    one anti join shuffles it.
+    """
+    spark = new.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
-    return new.join(written.select(*keys), keys, "left_anti")
+    done = written.select(*keys)
+    path = scratch_path(spark, "missing-keys")
+    new.select(*keys).distinct().join(done, keys, "left_anti").write.parquet(path)
+    missing = spark.read.parquet(path)
+    if missing.count() > broadcast_keys:
+        return new.join(done, keys, "left_anti")
+    wanted = missing.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return new.join(F.broadcast(wanted), same, "left_semi")
 
 
 def _read_if_present(df: DataFrame, path: str) -> DataFrame | None:

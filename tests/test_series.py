@@ -23,8 +23,8 @@ def test_parcel_means_refuse_an_atlas_with_gaps(spark):
         A.parcel_means(matrix, atlas, ["s"]).collect()
 
 
-@pytest.mark.parametrize("unit", ["minute", "hour", "day"])
-def test_decayed_total(spark, unit):
+@pytest.mark.parametrize("partitions", ["1", "4", "40"])
+def test_decayed_total(spark, partitions):
     rng = random.Random(2)
     start = datetime(2024, 1, 1)
     rows = [
@@ -32,8 +32,14 @@ def test_decayed_total(spark, unit):
         for i, k in enumerate(["hot"] * 400 + ["cold"] * 5 + ["single"])
     ]
     df = spark.createDataFrame(rows, "k string, ts timestamp, i int, g double").repartition(7)
-    out = A.decayed_total(df, "k", ["ts", "i"], F.col("g"), F.date_trunc(unit, "ts"), 0.05, 0.7, start=3.0)
-    for r in out.collect():
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = A.decayed_total(df, "k", ["ts", "i"], F.col("g"), 0.05, 0.7, start=3.0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r["k"]: r["n_events"] for r in got} == {"hot": 400, "cold": 5, "single": 1}
+    for r in got:
         state = 3.0
         for _, _, _, gain in sorted((x for x in rows if x[0] == r["k"]), key=lambda x: (x[1], x[2])):
             state = (1 - 0.05) * state + 0.7 * gain

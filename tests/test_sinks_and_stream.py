@@ -76,6 +76,15 @@ def test_replacement_keeps_bucket_neighbours(spark, tmp_path, monkeypatch):
     assert {(r["k"], r["v"]) for r in spark.read.parquet(path).collect()} == {("a", 5), ("b", 2)}
 
 
+@pytest.mark.parametrize("limit", [0, 1, 100])
+def test_skip_existing_both_ways(spark, limit):
+    """Broadcast of the missing keys and plain anti join give the same rows."""
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, v string")
+    old = spark.createDataFrame([(2,), (9,), (None,)], "k int")
+    got = sinks.skip_existing(new, old, "k", broadcast_keys=limit)
+    assert {r["v"] for r in got.collect()} == {"a", "b", "d", "e"} and got.columns == ["k", "v"]
+
+
 def test_matrix_rows(spark):
     wide = spark.createDataFrame([("s", 0, 1.0, 2.0)], "stimulus_id string, timestep int, vertex_00000 double, vertex_00001 double")
     row = sinks.matrix_rows(wide, "stimulus_id", "timestep", ["vertex_00000", "vertex_00001"]).first()
