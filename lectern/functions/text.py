@@ -208,8 +208,15 @@ def with_text_features(
 def explode_word_onsets(
     df: DataFrame, text: str = "text", wpm: float = WORDS_PER_MINUTE
 ) -> DataFrame:
-    """One row per word: ``word_idx``, ``word`` and ``onset_s``."""
+    """One row per word: ``word_idx``, ``word`` and ``onset_s``.
+
+    The outer form keeps the optimizer from testing the word count below the
+    explode, which would match every text a second time.
+    """
     others = [c for c in df.columns if c != text]
-    return df.select(
-        *others, F.posexplode(words_list(F.col(text))).alias("word_idx", "word")
-    ).withColumn("onset_s", F.lit(60.0) * F.col("word_idx").cast("double") / F.lit(float(wpm)))
+    rows = df.select(
+        *others, F.posexplode_outer(words_list(F.col(text))).alias("word_idx", "word")
+    )
+    return rows.filter(F.col("word_idx").isNotNull()).withColumn(
+        "onset_s", F.lit(60.0) * F.col("word_idx").cast("double") / F.lit(float(wpm))
+    )

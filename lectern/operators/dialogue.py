@@ -23,9 +23,14 @@ _GAP = "\u0000"
 
 
 def explode_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
-    """One row per turn of a ``split_turns`` array: ``pos, speaker, text``."""
+    """One row per turn of a ``split_turns`` array: ``pos, speaker, text``.
+
+    The outer form keeps the optimizer from testing the array's size below the
+    explode, which would split every body a second time.
+    """
     others = [c for c in df.columns if c != turns]
-    return df.select(*others, F.posexplode(turns).alias("pos", "t")).select(
+    rows = df.select(*others, F.posexplode_outer(turns).alias("pos", "t"))
+    return rows.filter(F.col("pos").isNotNull()).select(
         *others, F.col("pos").cast("long").alias("pos"), "t.speaker", "t.text"
     )
 
