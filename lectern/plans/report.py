@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.errors import QUARANTINE
@@ -20,6 +20,8 @@ from lectern.functions.turns import (
 )
 from lectern.operators import matching as M
 from lectern.operators.audit import audit_units
+from lectern.sources.front_matter import load_stimuli
+from lectern.sources.units import read_units
 
 _UNIT, _CONDITION = "unit_id", "condition"
 
@@ -89,15 +91,52 @@ def report_tables(
         "smd": smd,
         "dialogue": dialogue,
         "readability": spread,
-        "acceptance": acceptance(
-            _UNIT,
-            audit.groupBy(_UNIT).agg(F.bool_and("ok").alias("answers_ok")),
-            matching_gates(cells, _UNIT, _CONDITION, anchor),
-            dialogue_gates(dialogue, _UNIT),
-        ),
+        "acceptance": unit_acceptance(audit, cells, dialogue, anchor),
     }
 
 
+def unit_acceptance(
+    audit: DataFrame, cells: DataFrame, dialogue: DataFrame, anchor: str = TRADITIONAL
+) -> DataFrame:
+    """One acceptance row per unit from the audit, the condition cells and the dialogues."""
+    return acceptance(
+        _UNIT,
+        audit.groupBy(_UNIT).agg(F.bool_and("ok").alias("answers_ok")),
+        matching_gates(cells, _UNIT, _CONDITION, anchor),
+        dialogue_gates(dialogue, _UNIT),
+    )
+
+
+def run_slice(
+    spark: SparkSession,
+    units_path: str,
+    stimuli_path: str | list[str],
+    out: str,
+    anchor: str = TRADITIONAL,
+    one_unit_per_file: bool = True,
+) -> None:
+    """The whole acceptance run: every section as a parquet table below ``out``.
+
+    Features and dialogues are written first and read back, so that each text is
+    measured once and its turns are read once.
+    """
+    units = read_units(spark, units_path, one_unit_per_file)
+    stimuli = load_stimuli(spark, stimuli_path)
+
+    def save(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return spark.read.parquet(f"{out}/{name}")
+
+    featured = save("features", measure(stimuli))
+    tables = report_tables(units, stimuli, featured, anchor)
+    audit = save("validator_results", tables["validator_results"])
+    dialogue = save("dialogue", tables["dialogue"])
+    for name in ("anchor_deltas", "duration_caliper", "smd", "readability"):
+        save(name, tables[name])
+    cells = M.condition_cells(featured, ["duration_seconds", "fk_grade"], _UNIT, _CONDITION)
+    save("acceptance", unit_acceptance(audit, cells, dialogue, anchor))
+
+
 def matching_gates(cells: DataFrame, unit: str, condition: str, anchor: str) -> DataFrame:
     """Caliper gate and readability flag per unit, in one pass over its condition cells."""
     near = Window.partitionBy(unit)

@@ -55,13 +55,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def few_splits(scan: DataFrame, tasks_per_core: int = 2) -> int:
-    """Number of partitions to repartition a scan to, or 0 if it has enough of its own.
+    """Number of partitions to repartition a scan to, or 0 if it keeps all cores busy.
 
     A few large files with one row group each would run the text expressions on a
-    handful of tasks. At scale a scan has far more splits than there are cores.
+    handful of tasks. At scale a scan has far more splits than there are cores, and
+    its text is not shuffled.
     """
-    wanted = tasks_per_core * scan.sparkSession.sparkContext.defaultParallelism
-    return wanted if scan.rdd.getNumPartitions() < wanted else 0
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return tasks_per_core * cores if scan.rdd.getNumPartitions() < cores else 0
 
 
 def spread(scan: DataFrame) -> DataFrame:

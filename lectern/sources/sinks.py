@@ -66,22 +66,30 @@ def save_missing(df: DataFrame, path: str, key: str, overwrite: bool = False) ->
 
     With ``overwrite`` the rows of the given stimuli are replaced and all others
     kept. The table is laid out in a fixed number of key buckets, so a replacement
-    rewrites only the buckets it touches.
+    rewrites only the buckets it touches. Rows are rebalanced by bucket before the
+    write: adaptive execution cuts large buckets and joins small ones, and no task
+    writes a file into every bucket.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int")
-    rows = df.withColumn("bucket", bucket)
+    spark = df.sparkSession
+    rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int"))
     old = _read_if_present(df, path)
     writer_mode = "append"
     if old is not None and overwrite:
-        kept = skip_existing(old, rows, key).join(
-            rows.select("bucket").distinct(), "bucket", "left_semi"
+        # Read three times below, so computed once.
+        staged = scratch_path(spark, "replacement")
+        rows.write.parquet(staged)
+        rows = spark.read.parquet(staged)
+        touched = F.broadcast(rows.select("bucket").distinct())  # at most one row per bucket
+        kept = old.join(touched, "bucket", "left_semi").join(
+            rows.select(key).distinct(), key, "left_anti"
         )
         rows = rows.unionByName(kept.select(*rows.columns))
         writer_mode = "overwrite"
     elif old is not None:
         rows = skip_existing(rows, old, key)
     (
-        rows.write.mode(writer_mode)
+        rows.hint("rebalance", "bucket")
+        .write.mode(writer_mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(path)

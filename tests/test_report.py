@@ -2,7 +2,7 @@
 
 import pytest
 
-from lectern.plans.report import measure, report_tables
+from lectern.plans.report import measure, report_tables, run_slice
 from lectern.sources.front_matter import load_stimuli
 from lectern.sources.units import read_units
 from tests.test_validators import UNIT
@@ -41,11 +41,11 @@ def tables(spark, tmp_path_factory):
         write(stimuli, unit, "ai_substitution", SUBSTITUTE)
     units = read_units(spark, f"{folder}/units/*.json")
     loaded = load_stimuli(spark, f"{stimuli}/*/*.txt")
-    return loaded, units, report_tables(units, loaded)
+    return loaded, units, report_tables(units, loaded), folder
 
 
 def test_sections(tables):
-    _, _, t = tables
+    t = tables[2]
     assert t["validator_results"].count() == 10
     assert t["features"].count() == 6 and t["features"].filter("error IS NOT NULL").count() == 0
     assert t["anchor_deltas"].count() == 2 * 2 * 8
@@ -72,7 +72,17 @@ def test_acceptance(tables):
 
 
 def test_features_may_come_from_a_written_table(spark, tables, tmp_path):
-    loaded, units, lazy = tables
-    measure(loaded).drop("meta").write.parquet(str(tmp_path / "features"))
+    loaded, units, lazy, _ = tables
+    measure(loaded).write.parquet(str(tmp_path / "features"))
     again = report_tables(units, loaded, spark.read.parquet(str(tmp_path / "features")))
     assert sorted(map(tuple, again["acceptance"].collect())) == sorted(map(tuple, lazy["acceptance"].collect()))
+
+
+def test_run_slice_writes_every_section(spark, tables, tmp_path):
+    _, _, lazy, folder = tables
+    for _ in range(2):
+        run_slice(spark, f"{folder}/units/*.json", f"{folder}/stimuli/*/*.txt", str(tmp_path))
+    for name, table in lazy.items():
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == table.count(), name
+    written = spark.read.parquet(f"{tmp_path}/acceptance")
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, lazy["acceptance"].collect()))

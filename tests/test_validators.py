@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,20 @@ def test_user_validator_joins_the_dispatch(spark):
         V.unregister("double_it")
 
 
+def test_user_validator_may_be_a_pandas_udf(spark):
+    @F.pandas_udf("double")
+    def half(x: pd.Series) -> pd.Series:
+        return x / 2
+
+    V.register("half_it", ("x",))(lambda x: half(x))
+    try:
+        df = spark.createDataFrame([("half_it", {"x": 4.0}, 2.0), ("half_it", {}, 2.0)], "validator string, params map<string,double>, answer double")
+        got = [(r["expected"], r["passed"], r["error"]) for r in V.check_answers(df).collect()]
+        assert got == [(2.0, True, None), (None, None, "missing_param")]
+    finally:
+        V.unregister("half_it")
+
+
 def test_numeric_close_equals_isclose(spark):
     values = [0.0, -0.0, 1.0, 1.0 + 1e-7, 1.0 + 1e-5, 1e-7, -1e-7, 1e12, 1e12 + 1, 1e12 + 1e7, INF, -INF, NAN, 4000.0]
     pairs = [(a, b) for a in values for b in values]
