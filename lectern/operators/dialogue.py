@@ -111,15 +111,21 @@ def turn_leakage(
     bounded by the answer's length, before anything is shuffled; blocks of
     consecutive turns are then merged level by level.
     """
-    text, ans = strip(F.col("text")), normalize_numbers(F.col(answer))
-    tutor = F.col("speaker") == TUTOR
-    attempt = (F.col("speaker") == LEARNER) & has_digit(text)
-    blocks = turns.select(
+    staged = turns.select(
         conversation,
         F.col("pos").alias("ord"),
-        ans.alias("answer"),
-        F.when(F.col("speaker").isin(TUTOR, LEARNER), 1).otherwise(0).alias("n_turns"),
-        F.when(attempt, F.col("pos")).alias("attempt"),
+        (F.col("speaker") == TUTOR).alias("tutor"),
+        (F.col("speaker") == LEARNER).alias("learner"),
+        strip(F.col("text")).alias("text"),
+        normalize_numbers(F.col(answer)).alias("answer"),
+    )
+    text, ans, tutor = F.col("text"), F.col("answer"), F.col("tutor")
+    blocks = staged.select(
+        conversation,
+        "ord",
+        "answer",
+        F.when(tutor | F.col("learner"), 1).otherwise(0).alias("n_turns"),
+        F.when(F.col("learner"), F.when(has_digit(text), F.col("ord"))).alias("attempt"),
         F.coalesce(F.when(tutor, normalize_numbers(text).contains(ans)), F.lit(False)).alias("hit"),
         F.when(tutor & ans.isNotNull(), _ends(text, _reach(ans))).alias("said"),
     )
