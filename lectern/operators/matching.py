@@ -113,9 +113,9 @@ def duration_caliper(
 ) -> DataFrame:
     """Every text of the other conditions against its unit's anchor.
 
-    ``anchors`` has one row per unit, so the join never multiplies rows. Adaptive
-    execution broadcasts it when its measured size allows, and otherwise splits
-    the partitions of hot units.
+    ``anchors`` has one row per unit, so the join never multiplies rows. Passed
+    through :func:`lectern.session.lookup_side` it is broadcast if few units have
+    one; otherwise adaptive execution splits the partitions of hot units.
     """
     joined = others.join(anchors.select(unit, f"anchor_{value}"), unit, "left")
     ratio, passed, error = caliper(

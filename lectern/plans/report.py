@@ -20,6 +20,7 @@ from lectern.functions.turns import (
 )
 from lectern.operators import matching as M
 from lectern.operators.audit import audit_units
+from lectern.session import lookup_side
 from lectern.sources.front_matter import load_stimuli
 from lectern.sources.units import read_units
 
@@ -76,10 +77,7 @@ def report_tables(
     audit = audit_units(units, mode=mode)
     deltas = M.anchor_deltas(cells, FEATURES, _UNIT, _CONDITION, anchor, mode)
     anchors = M.anchors_of(featured, ["duration_seconds"], _UNIT, _CONDITION, anchor)
-    others = featured.filter(F.col(_CONDITION) != anchor).select(
-        "stimulus_id", _UNIT, _CONDITION, "duration_seconds"
-    )
-    caliper = M.duration_caliper(others, anchors, _UNIT, mode=mode)
+    caliper = _calipers(featured, anchors, anchor, mode)
     smd = M.standardized_mean_differences(cells, FEATURES, _CONDITION, anchor)
     spread = M.readability_spread(cells, _UNIT, _CONDITION)
     dialogue = dialogue_checks(stimuli, units, anchor)
@@ -95,6 +93,15 @@ def report_tables(
     }
 
 
+def _calipers(
+    featured: DataFrame, anchors: DataFrame, anchor: str, mode: str = QUARANTINE
+) -> DataFrame:
+    others = featured.filter(F.col(_CONDITION) != anchor).select(
+        "stimulus_id", _UNIT, _CONDITION, "duration_seconds"
+    )
+    return M.duration_caliper(others, anchors, _UNIT, mode=mode)
+
+
 def unit_acceptance(
     audit: DataFrame, cells: DataFrame, dialogue: DataFrame, anchor: str = TRADITIONAL
 ) -> DataFrame:
@@ -129,6 +136,8 @@ def run_slice(
 
     featured = save("features", measure(stimuli))
     tables = report_tables(units, stimuli, featured, anchor)
+    anchors = M.anchors_of(featured, ["duration_seconds"], _UNIT, _CONDITION, anchor)
+    tables["duration_caliper"] = _calipers(featured, lookup_side(anchors, "anchors"), anchor)
     audit = save("validator_results", tables["validator_results"])
     dialogue = save("dialogue", tables["dialogue"])
     for name in ("anchor_deltas", "duration_caliper", "smd", "readability"):

@@ -1,7 +1,7 @@
 """The registered queries: one callable per operator, over whole tables.
 
-Each takes ``(spark, sf_dir)`` and returns a lazy DataFrame (the stream query runs
-its stream first). Sums are rounded where the order of addition may differ.
+Each takes ``(spark, sf_dir)`` and returns a DataFrame; a few first compute a small
+side, the missing keys or the stream's output in the shared folder. Sums are rounded where the order of addition may differ.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lectern.operators import vectors
 from lectern.operators.audit import REFERENCE_THRESHOLD, audit_units, correctness_gate
 from lectern.plans import inputs as I
 from lectern.plans.report import acceptance, dialogue_gates
-from lectern.session import few_splits, scratch_path
+from lectern.session import few_splits, lookup_side, scratch_path
 from lectern.sources.front_matter import coerce, with_front_matter, with_known_keys
 from lectern.sources.sinks import skip_existing
 from lectern.sources.stimuli import fk_violations, key_violations, stimuli_index
@@ -115,7 +115,9 @@ def anchor_deltas(spark, sf):
 def duration_caliper(spark, sf):
     texts = I.documents(spark, sf)
     timed = texts.select("doc_id", UNIT, CONDITION, X.duration_seconds(F.col("text")).alias("duration_seconds"))
-    anchors = M.anchors_of(timed, ["duration_seconds"], UNIT, CONDITION, ANCHOR)
+    anchors = lookup_side(
+        M.anchors_of(timed, ["duration_seconds"], UNIT, CONDITION, ANCHOR), "anchors"
+    )
     others = timed.filter(F.col(CONDITION) != ANCHOR)
     out = M.duration_caliper(others, anchors, UNIT)
     return out.select(
@@ -421,7 +423,9 @@ def acceptance_summary(spark, sf):
         F.col("p_partkey").alias("doc_id"), F.coalesce("passed", F.lit(False)).alias("answers_ok")
     )
     texts = I.featured(spark, sf).select("doc_id", UNIT, CONDITION, "duration_seconds", "fk_grade")
-    anchors = M.anchors_of(texts, ["duration_seconds", "fk_grade"], UNIT, CONDITION, ANCHOR)
+    anchors = lookup_side(
+        M.anchors_of(texts, ["duration_seconds", "fk_grade"], UNIT, CONDITION, ANCHOR), "anchors"
+    )
     others = texts.filter(F.col(CONDITION) != ANCHOR).join(anchors, UNIT, "left")
     _, passed, _ = M.caliper(
         F.col("anchor_duration_seconds"), F.col("duration_seconds"), M.CALIPER_TOLERANCE

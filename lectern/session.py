@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -54,6 +55,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def save_once(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder, so that it is computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def lookup_side(df: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
+    """The small side of a join, computed and counted before the join is planned.
+
+    Up to ``max_rows`` it is broadcast and the large side is not shuffled. Beyond
+    that it joins by shuffle, where adaptive execution splits hot keys.
+    """
+    side = save_once(df, name)
+    return F.broadcast(side) if side.count() <= max_rows else side
+
+
 def few_splits(scan: DataFrame, tasks_per_core: int = 2) -> int:
     """Number of partitions to repartition a scan to, or 0 if it keeps all cores busy.
 

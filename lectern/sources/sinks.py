@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import FEATURES
-from lectern.session import scratch_path
+from lectern.session import save_once
 
 _BUCKETS = 64
 
@@ -39,12 +39,9 @@ def skip_existing(
     payload is filtered where it lies; otherwise most of the payload is needed and
     one anti join shuffles it.
     """
-    spark = new.sparkSession
     keys = [key] if isinstance(key, str) else list(key)
     done = written.select(*keys)
-    path = scratch_path(spark, "missing-keys")
-    new.select(*keys).distinct().join(done, keys, "left_anti").write.parquet(path)
-    missing = spark.read.parquet(path)
+    missing = save_once(new.select(*keys).distinct().join(done, keys, "left_anti"), "missing-keys")
     if missing.count() > broadcast_keys:
         return new.join(done, keys, "left_anti")
     wanted = missing.select(*[F.col(k).alias(f"_{k}") for k in keys])
@@ -70,15 +67,12 @@ def save_missing(df: DataFrame, path: str, key: str, overwrite: bool = False) ->
     write: adaptive execution cuts large buckets and joins small ones, and no task
     writes a file into every bucket.
     """
-    spark = df.sparkSession
     rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int"))
     old = _read_if_present(df, path)
     writer_mode = "append"
     if old is not None and overwrite:
         # Read three times below, so computed once.
-        staged = scratch_path(spark, "replacement")
-        rows.write.parquet(staged)
-        rows = spark.read.parquet(staged)
+        rows = save_once(rows, "replacement")
         touched = F.broadcast(rows.select("bucket").distinct())  # at most one row per bucket
         kept = old.join(touched, "bucket", "left_semi").join(
             rows.select(key).distinct(), key, "left_anti"

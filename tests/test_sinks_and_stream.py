@@ -141,3 +141,14 @@ def test_spread_only_touches_scans_with_few_splits(spark):
     few, many = spark.range(10, numPartitions=1), spark.range(100, numPartitions=50)
     assert session.spread(few).rdd.getNumPartitions() == 8
     assert session.spread(many) is many
+
+
+def test_lookup_side_is_broadcast_only_when_small(spark):
+    side = spark.range(5)
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "broadcast" in plan(spark.range(9).join(session.lookup_side(side, "s"), "id"))
+    large = session.lookup_side(side, "s", max_rows=4)
+    assert "broadcast" not in plan(spark.range(9).join(large, "id")) and large.count() == 5
