@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.errors import QUARANTINE, enforce
+
 _PARAMS = T.MapType(T.StringType(), T.DoubleType())
 
 
@@ -50,9 +52,26 @@ PROBLEMS = ("canonical_problem", "practice_problem", "near_transfer", "far_trans
 MISCONCEPTION = "misconception_correctly_fails"
 
 
-def read_units(spark: SparkSession, path: str | list[str], one_per_file: bool = True) -> DataFrame:
-    """Unit objects, one per file or (for large collections) one per line."""
-    return spark.read.schema(UNIT_SCHEMA).json(path, multiLine=one_per_file)
+_CORRUPT = "_corrupt_record"
+
+
+def read_units(
+    spark: SparkSession,
+    path: str | list[str],
+    one_per_file: bool = True,
+    mode: str = QUARANTINE,
+) -> DataFrame:
+    """Unit objects, one per file or (for large collections) one per line.
+
+    Adds ``error``: an object that is not JSON is a row of NULLs, and one with a
+    field of the wrong type has that field NULL, both with a code.
+    """
+    schema = T.StructType([*UNIT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
+    units = read.json(path, multiLine=one_per_file)
+    bad = F.col(_CORRUPT).isNotNull()
+    error = F.when(bad & F.col("unit_id").isNull(), "malformed_json").when(bad, "bad_field")
+    return enforce(units.withColumn("error", error).drop(_CORRUPT), mode)
 
 
 def parse_units(df: DataFrame, json_text: str) -> DataFrame:

@@ -154,7 +154,7 @@ def units(spark, tmp_path):
 
 
 def test_units_scan_and_index(spark, units, tmp_path):
-    assert units.schema == UNIT_SCHEMA
+    assert units.drop("error").schema == UNIT_SCHEMA
     row = units_index(units).filter("unit_id = 'u1'").first()
     assert row["prerequisites"] == "p;q" and row["reference_answer"] == 4000.0
     assert row["validator_transfer"] == "price_for_break_even_quantity" and row["transfer_answer"] == 42.0
@@ -179,3 +179,19 @@ def test_unit_audit_and_gate(units):
     gates = {r["problem"]: r for r in correctness_gate(audit_units(units), "problem", {"canonical_problem": 1.0}).collect()}
     assert gates["canonical_problem"]["gate"] and gates["canonical_problem"]["share"] == 1.0
     assert not gates["far_transfer"]["gate"] and gates["far_transfer"]["n_correct"] == 1
+
+
+def test_malformed_unit_file_is_quarantined(spark, units, tmp_path):
+    (tmp_path / "units" / "u3.json").write_text('{"unit_id": "u3", "domain": ')
+    path = f"{tmp_path}/units/*.json"
+    assert sorted((r["unit_id"] or "", r["error"]) for r in read_units(spark, path).collect()) == [
+        ("", "malformed_json"), ("u1", None), ("u2", None),
+    ]
+    with pytest.raises(Exception, match="malformed_json"):
+        read_units(spark, path, mode="strict").collect()
+    (tmp_path / "units" / "u3.json").write_text(UNIT.replace('"u1"', '"u3"').replace('"difficulty": 2', '"difficulty": "x"'))
+    odd = read_units(spark, path).filter("error IS NOT NULL").first()
+    assert (odd["unit_id"], odd["difficulty"], odd["error"]) == ("u3", None, "bad_field")
+    lines = tmp_path / "lines.json"
+    lines.write_text(UNIT.replace("\n", " ") + "\n" + UNIT.replace("\n", " ").replace('"u1"', '"u2"') + "\n")
+    assert read_units(spark, str(lines), one_per_file=False).filter("error IS NULL").count() == 2
