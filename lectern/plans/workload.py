@@ -1,7 +1,8 @@
 """The registered queries: one callable per operator, over whole tables.
 
 Each takes ``(spark, sf_dir)`` and returns a DataFrame; a few first compute a small
-side, the missing keys or the stream's output in the shared folder. Sums are rounded where the order of addition may differ.
+side, the missing keys or the stream's output in the shared folder. Sums are rounded
+where the order of addition may differ.
 """
 
 from __future__ import annotations

@@ -62,14 +62,25 @@ def save_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fits_broadcast(table: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> bool:
+    """Is a written table small enough, in rows and in bytes, to be sent to every task?
+
+    Rows are counted first; only a table that passes is measured.
+    """
+    if table.count() > max_rows:
+        return False
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    return (table.agg(size).first()[0] or 0) <= max_bytes
+
+
 def lookup_side(df: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
-    """The small side of a join, computed and counted before the join is planned.
+    """The small side of a join, computed and measured before the join is planned.
 
-    Up to ``max_rows`` it is broadcast and the large side is not shuffled. Beyond
-    that it joins by shuffle, where adaptive execution splits hot keys.
+    If it fits it is broadcast and the large side is not shuffled. Otherwise it
+    joins by shuffle, where adaptive execution splits hot keys.
     """
     side = save_once(df, name)
-    return F.broadcast(side) if side.count() <= max_rows else side
+    return F.broadcast(side) if fits_broadcast(side, max_rows) else side
 
 
 def few_splits(scan: DataFrame, tasks_per_core: int = 2) -> int:

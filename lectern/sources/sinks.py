@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import FEATURES
-from lectern.session import save_once
+from lectern.session import fits_broadcast, save_once
 
 _BUCKETS = 64
 
@@ -35,14 +35,13 @@ def skip_existing(
     """Rows of ``new`` whose key is not in ``written``; rows without a key are kept.
 
     The keys are compared first, without the payload, and the missing ones written
-    to the shared folder. If they are few, their counted list is broadcast and the
-    payload is filtered where it lies; otherwise most of the payload is needed and
-    one anti join shuffles it.
+    to the shared folder. If their measured list fits, it is broadcast and the payload
+    is filtered where it lies; otherwise one anti join shuffles the payload.
     """
     keys = [key] if isinstance(key, str) else list(key)
     done = written.select(*keys)
     missing = save_once(new.select(*keys).distinct().join(done, keys, "left_anti"), "missing-keys")
-    if missing.count() > broadcast_keys:
+    if not fits_broadcast(missing, broadcast_keys):
         return new.join(done, keys, "left_anti")
     wanted = missing.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])

@@ -143,6 +143,14 @@ def test_spread_only_touches_scans_with_few_splits(spark):
     assert session.spread(many) is many
 
 
+def test_broadcast_limits_rows_and_bytes(spark):
+    table = spark.createDataFrame([("x" * 1000,)] * 10, "k string")
+    assert session.fits_broadcast(table, 10)
+    assert not session.fits_broadcast(table, 9)
+    assert not session.fits_broadcast(table, 10, max_bytes=9_000)
+    assert session.fits_broadcast(table.limit(0), 0)
+
+
 def test_lookup_side_is_broadcast_only_when_small(spark):
     side = spark.range(5)
 
