@@ -38,6 +38,14 @@ def _array_of(atlas: DataFrame) -> str:
     return f"array<{atlas.schema['parcel'].dataType.simpleString()}>"
 
 
+def range_pieces(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Rows numbered by range partition: ``piece`` grows with (key, order).
+
+    The ranges are fixed once per query, so a task that is run again gets the same.
+    """
+    return df.repartitionByRange(key, *order).withColumn("piece", F.spark_partition_id())
+
+
 def decayed_total(
     events: DataFrame,
     key: str,
@@ -56,11 +64,7 @@ def decayed_total(
     order, meet per key.
     """
     keep = F.lit(1.0 - delta)
-    pieces = (
-        events.select(key, *order, (F.lit(eta) * gain).alias("x"))
-        .repartitionByRange(key, *order)
-        .withColumn("piece", F.spark_partition_id())
-    )
+    pieces = range_pieces(events.select(key, *order, (F.lit(eta) * gain).alias("x")), key, order)
     inside = Window.partitionBy(key, "piece").orderBy(*[F.col(c).desc() for c in order])
     ranked = pieces.withColumn("later", F.row_number().over(inside) - 1)
     sums = ranked.groupBy(key, "piece").agg(

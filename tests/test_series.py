@@ -23,24 +23,48 @@ def test_parcel_means_refuse_an_atlas_with_gaps(spark):
         A.parcel_means(matrix, atlas, ["s"]).collect()
 
 
-@pytest.mark.parametrize("partitions", ["1", "4", "40"])
-def test_decayed_total(spark, partitions):
+@pytest.fixture()
+def uncoalesced(spark):
+    """Adaptive execution would join the small range partitions of a test into one."""
+
+    def set_partitions(n: int):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield set_partitions
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def hot_events(spark):
     rng = random.Random(2)
     start = datetime(2024, 1, 1)
     rows = [
         (k, start + timedelta(seconds=rng.randint(0, 200_000) // 600 * 600), i, rng.gauss(1, 1))
         for i, k in enumerate(["hot"] * 400 + ["cold"] * 5 + ["single"])
     ]
-    df = spark.createDataFrame(rows, "k string, ts timestamp, i int, g double").repartition(7)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    try:
-        got = A.decayed_total(df, "k", ["ts", "i"], F.col("g"), 0.05, 0.7, start=3.0).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return rows, spark.createDataFrame(rows, "k string, ts timestamp, i int, g double").repartition(7)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 40])
+def test_decayed_total(spark, uncoalesced, partitions):
+    uncoalesced(partitions)
+    rows, df = hot_events(spark)
+    got = A.decayed_total(df, "k", ["ts", "i"], F.col("g"), 0.05, 0.7, start=3.0).collect()
     assert {r["k"]: r["n_events"] for r in got} == {"hot": 400, "cold": 5, "single": 1}
     for r in got:
         state = 3.0
         for _, _, _, gain in sorted((x for x in rows if x[0] == r["k"]), key=lambda x: (x[1], x[2])):
             state = (1 - 0.05) * state + 0.7 * gain
         assert r["state"] == pytest.approx(state, rel=1e-9)
+
+
+def test_a_hot_key_is_cut_into_ordered_pieces(spark, uncoalesced):
+    uncoalesced(40)
+    _, df = hot_events(spark)
+    found = A.range_pieces(df, "k", ["ts", "i"]).filter("k = 'hot'").select("piece", "ts", "i").collect()
+    assert len({r["piece"] for r in found}) > 20
+    assert max(sum(r["piece"] == p for r in found) for p in {r["piece"] for r in found}) < 60
+    ordered = sorted(found, key=lambda r: (r["ts"], r["i"]))
+    assert [r["piece"] for r in ordered] == sorted(r["piece"] for r in found)
