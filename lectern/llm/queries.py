@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import (
     decontaminate,
     packing,
+    quality,
     sharding,
     token_counts,
     token_files,
+    topk,
     warc,
 )
 from lectern.llm.common import documents
@@ -20,6 +23,11 @@ from lectern.session import scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality_scores(documents(spark, sf_dir), labels)
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -46,11 +54,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs).select("doc_id", "n_tokens")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
+    "op10_top_k": op10_top_k,
 }
