@@ -12,6 +12,7 @@ from lectern.llm import (
     packing,
     quality,
     sharding,
+    simhash,
     token_counts,
     token_files,
     topk,
@@ -23,6 +24,11 @@ from lectern.session import scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_scores(documents(spark, sf_dir), labels)
@@ -60,6 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
