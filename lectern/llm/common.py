@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.session import save_once
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
@@ -36,3 +38,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save_stage(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder; its shuffle files go once it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return save_once(df, name)
+    finally:
+        conf.set(_CLEANUP, before)

@@ -13,6 +13,7 @@ from lectern.llm import (
     quality,
     sharding,
     simhash,
+    substrings,
     token_counts,
     token_files,
     topk,
@@ -34,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents(spark, sf_dir), labels)
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(documents(spark, sf_dir))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
+    "op3_repeats": op3_repeats,
     "op4_pack": op4_pack,
     "op5_shard": op5_shard,
     "op6_warc": op6_warc,
