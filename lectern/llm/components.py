@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import save_once
+from lectern.llm.common import save_stage
 
 
 def _minimum(links: DataFrame) -> DataFrame:
@@ -44,10 +44,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     cost at most a round.
     """
     ends = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    table = save_once(ends.filter("a <> b").distinct(), "links")
+    table = save_stage(ends.filter("a <> b").distinct(), "links")
     mark = _mark(table)
     while mark[0]:
-        table = save_once(_small_star(_large_star(table)), "links")
+        table = save_stage(_small_star(_large_star(table)), "links")
         before, mark = mark, _mark(table)
         if before == mark:
             break

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes
-from lectern.session import save_once
+from lectern.llm.common import as_bytes, save_stage
 
 PLACES = 4096
 RANK = 48
@@ -120,7 +119,7 @@ def labelled_sample(
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("high"))
     known = known.filter("quality = high").select("doc_id", "quality")
     # Labels may name documents that are gone; only those that are here are chosen from.
-    known = save_once(known.join(docs.select("doc_id").distinct(), "doc_id"), "labels")
+    known = save_stage(known.join(docs.select("doc_id").distinct(), "doc_id"), "labels")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = [known.filter(F.col("quality") == q).orderBy(*order).limit(per_class) for q in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))

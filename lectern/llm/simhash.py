@@ -23,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes
+from lectern.llm.common import as_bytes, save_stage
 from lectern.llm.components import components
-from lectern.session import save_once
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -207,8 +206,8 @@ def near_duplicates(
     fingerprints and so one component. A row with a null id takes part; a component of
     such rows alone has a null id.
     """
-    own = save_once(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = save_once(own.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "distinct")
+    own = save_stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    least = save_stage(own.groupBy("fp").agg(F.min("doc_id").alias("lowest")), "distinct")
     roots = components(fingerprint_links(least.select("fp"), max_bits), "a", "b")
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
@@ -220,3 +219,13 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class of near duplicates the rows with the smallest id, as they came.
+
+    Rows that repeat the kept id all stay, and so do rows without an id.
+    """
+    classes = near_duplicates(docs, id_col, text_col)
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -22,8 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blocks_for
-from lectern.session import save_once
+from lectern.llm.common import blocks_for, save_stage
 
 SCALE = 256
 PARTS = 2
@@ -225,9 +224,9 @@ def top_k(
     rows that share an id each is a candidate and, if it is a query, a query of its own.
     A query without other rows has no result; an empty table gives an empty result.
     """
-    vectors = save_once(integer_vectors(df, id_col, vector), "vectors")
+    vectors = save_stage(integer_vectors(df, id_col, vector), "vectors")
     own_names = {"vec_id": "query_id", "vec_copy": "query_copy"}
-    queries = save_once(vectors.filter(is_query).withColumnsRenamed(own_names), "queries")
+    queries = save_stage(vectors.filter(is_query).withColumnsRenamed(own_names), "queries")
     search = _Search(vectors, queries, k, parts)
 
     best = [F.desc("score"), "vec_id", "vec_copy"]
@@ -235,11 +234,11 @@ def top_k(
     per_query = Window.partitionBy("dim", *_QUERY).orderBy(*best)
 
     lists = search.score(None).withColumn("rank", F.row_number().over(per_part))
-    gathered = save_once(lists.filter(F.col("rank") <= k).drop("rank"), "local-lists")
+    gathered = save_stage(lists.filter(F.col("rank") <= k).drop("rank"), "local-lists")
     ranked = search.totals(gathered).withColumn("rank", F.row_number().over(per_query))
     cutoffs = ranked.filter(F.col("rank") == k).select(
         "dim", *_QUERY, F.col("score").cast("double").alias("cutoff")
     )
-    collected = save_once(search.score(save_once(cutoffs, "cutoffs")), "collected")
+    collected = save_stage(search.score(save_stage(cutoffs, "cutoffs")), "collected")
     final = search.totals(collected).withColumn("rank", F.row_number().over(per_query))
     return final.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
