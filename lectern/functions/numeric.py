@@ -24,7 +24,19 @@ def numeric_close(a: Column, b: Column, tol: float = DEFAULT_TOLERANCE) -> Colum
 
 
 def answer_text(x: Column) -> Column:
-    """A number as an author writes it: whole numbers without ``.0`` or exponent."""
+    """A number as an author writes it: digits only, no ``.0`` and no exponent.
+
+    A double has 17 significant digits; what was written with more is kept as text by
+    its source. Numbers beyond 38 digits keep their exponent.
+    """
     x = x.cast("double")
-    whole = is_finite(x) & (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
-    return F.when(whole, F.when(whole, x).cast("long").cast("string")).otherwise(x.cast("string"))
+    size = F.abs(x)
+    whole = is_finite(x) & (x == F.floor(x)) & (size < F.lit(1e38))
+    small = is_finite(x) & (size < F.lit(1e-3)) & (size >= F.lit(1e-17))
+    large = is_finite(x) & (size >= F.lit(1e7)) & (size < F.lit(1e19))
+    digits = F.when(small | large, x).cast("decimal(38,18)").cast("string")
+    return (
+        F.when(whole, F.when(whole, x).cast("decimal(38,0)").cast("string"))
+        .when(small | large, F.rtrim(digits, F.lit("0")))
+        .otherwise(x.cast("string"))
+    )

@@ -30,7 +30,7 @@ ROUND = 2048
 END_ID = 2
 # Pieces that one task packs. They are 40 bytes each, without the ids.
 PIECES_PER_TASK = 500_000
-_PIECES = "doc_id long, piece int, start long, length long, ids binary"
+_PIECES = "doc_id long, piece int, start long, length long"
 
 
 class BestFit:
@@ -78,57 +78,47 @@ def cut_pieces(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     tokenizer: str | None = None,
+    checksums: bool = False,
 ) -> DataFrame:
     """Tokenize every text, append ``end_id``, cut what is longer than a sequence.
 
     Pieces of one document are full but for the first, which takes the remainder.
-    ``doc_id, piece, start, length, ids`` with ids as little-endian 32-bit bytes; no
+    ``doc_id, piece, start, length, ids`` with ids as little-endian 32-bit bytes, or with
+    their checksum ``ids_crc32`` in their place, so that packing moves lengths only. No
     shuffle. A null or empty text is one piece, the end id.
     """
+    last, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            names=["doc_id", "piece", "start", "length", last],
+        )
+
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             names = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
+            texts = (t.as_py() for t in batch.column("text"))
             for name, ids in zip(names, encode_all(texts, tokenizer), strict=True):
                 ids += end
                 total = len(ids) // 4
                 first = total % capacity or capacity
                 bounds = [0, *range(first, total + 1, capacity)]
                 for k, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    out.append((name, k, i, j - i, ids[4 * i : 4 * j]))
-                if len(out) >= 4000:
-                    yield _pieces(out)
+                    own = ids[4 * i : 4 * j]
+                    out.append((name, k, i, j - i, zlib.crc32(own) if checksums else own))
+                if len(out) >= 2000:
+                    yield made(out)
                     out = []
-            yield _pieces(out)
+            yield made(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, _PIECES)
-
-
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-        names=["doc_id", "piece", "start", "length", "ids"],
-    )
-
-
-def piece_checksums(pieces: DataFrame) -> DataFrame:
-    """Replace the ids by their checksum, so that packing moves lengths only."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(x) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(sums, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
-
-    return pieces.mapInArrow(check, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, f"{_PIECES}, {last} {'long' if checksums else 'binary'}")
 
 
 def pack(
@@ -175,4 +165,4 @@ def pack(
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Digest of every piece and its place: tokenized where it lies, packed by length."""
-    return pack(piece_checksums(cut_pieces(docs)), docs.count())
+    return pack(cut_pieces(docs, checksums=True), docs.count())

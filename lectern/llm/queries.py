@@ -52,7 +52,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files(spark, documents(spark, sf_dir), scratch_path(spark, "ids"))
+    return token_files.token_files(documents(spark, sf_dir), scratch_path(spark, "ids"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

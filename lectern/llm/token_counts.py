@@ -27,8 +27,9 @@ PIECE_MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 # Fixed by the tokenizer: what an unknown character costs beside the lowest score.
 UNKNOWN_PENALTY = 10.0
-# Words kept by a task's cache before it starts anew.
-CACHE_WORDS = 600_000
+# Words in a generation of a task's cache. A full generation becomes the old one, from
+# which words that come again are taken over; the one before it goes.
+CACHE_WORDS = 150_000
 _COUNTERS: dict[str, UnigramCounter] = {}
 
 
@@ -64,6 +65,7 @@ class UnigramCounter:
         self._alone = {piece for piece, _ in vocabulary if len(piece) == 1}
         self._cache_words = cache_words
         self._known: dict[str, int] = {}
+        self._old: dict[str, int] = {}
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of pieces of the best path; the earlier path wins a tie."""
@@ -100,9 +102,11 @@ class UnigramCounter:
         if None in found:
             new = {w for w in words if w not in self._known}
             if len(self._known) + len(new) > self._cache_words:
-                self._known.clear()
+                self._old, self._known = self._known, {}
                 new = set(words)
-            self._known.update((w, self.best(SPACE + w)[1]) for w in new)
+            for w in new:
+                before = self._old.get(w)
+                self._known[w] = self.best(SPACE + w)[1] if before is None else before
             found = list(map(self._known.get, words))
         return sum(found)
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import blocks_for
@@ -30,7 +30,7 @@ from lectern.llm.tokens import encode_all
 # Documents per file group, so that a group's ids stay near a hundred megabytes.
 DOCS_PER_FILE = 20_000
 _MANIFEST = "part int, path string, docs long, null_ids long, tokens long"
-_READ = "doc_id long, start long, n_tokens long, ids binary"
+_READ = "doc_id long, start long, n_tokens long"
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -90,7 +90,7 @@ def write_token_files(
         part = TaskContext.get().partitionId()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
+            texts = (t.as_py() for t in batch.column("text"))
             for doc_id, raw in zip(ids, encode_all(texts, tokenizer, width), strict=True):
                 group = group or _Group(folder, part, width)
                 group.add(doc_id, raw + end)
@@ -120,12 +120,21 @@ def _open(path: str) -> np.ndarray:
         return np.frombuffer(file.read(), np.uint8)
 
 
-def read_token_files(manifest: DataFrame, width: int = 2, rows_per_batch: int = 2000) -> DataFrame:
+def read_token_files(
+    manifest: DataFrame, width: int = 2, rows_per_batch: int = 2000, checksums: bool = False
+) -> DataFrame:
     """Every document of the files: ``doc_id, start, n_tokens, ids``.
 
     ``start`` counts the ids of all documents before it, in all files; ``ids`` are the
-    little-endian bytes, end id included. One task reads one file group.
+    little-endian bytes, end id included. With ``checksums`` their place takes
+    ``ids_crc32``, the checksum of the ids as 32-bit integers. One task reads one group.
     """
+    last, kind = ("ids_crc32", pa.int64()) if checksums else ("ids", pa.binary())
+
+    def of(ids: np.ndarray) -> bytes | int:
+        if not checksums:
+            return ids.tobytes()
+        return zlib.crc32(ids.view(f"<u{width}").astype("<u4").tobytes())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,32 +151,16 @@ def read_token_files(manifest: DataFrame, width: int = 2, rows_per_batch: int =
                             pa.array(names[at:to], mask=np.arange(at, to) < row["null_ids"]),
                             pa.array(bounds[:-1] + row["base"]),
                             pa.array(np.diff(bounds)),
-                            pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
+                            pa.array([of(ids[i:j]) for i, j in spans], kind),
                         ],
-                        names=["doc_id", "start", "n_tokens", "ids"],
+                        names=["doc_id", "start", "n_tokens", last],
                     )
 
     files = manifest.count()
-    return manifest.repartition(max(1, files)).mapInArrow(read, _READ)
-
-
-def ids_checksum(df: DataFrame, width: int = 2) -> DataFrame:
-    """Replace ``ids`` by ``ids_crc32``, the checksum of the ids as 32-bit integers."""
-    names = [f.name for f in df.schema.fields if f.name != "ids"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "ids")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = batch.column("ids").to_pylist()
-            sums = [zlib.crc32(np.frombuffer(r, f"<u{width}").astype("<u4").tobytes()) for r in raws]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [pa.array(sums, pa.int64())],
-                names=[*names, "ids_crc32"],
-            )
-
-    return df.mapInArrow(check, schema + ", ids_crc32 long")
+    schema = f"{_READ}, {last} {'long' if checksums else 'binary'}"
+    return manifest.repartition(max(1, files)).mapInArrow(read, schema)
 
 
-def token_files(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+def token_files(docs: DataFrame, folder: str) -> DataFrame:
     """Write the documents' token files to ``folder`` and read them back as digests."""
-    return ids_checksum(read_token_files(write_token_files(docs, folder)))
+    return read_token_files(write_token_files(docs, folder), checksums=True)

@@ -18,8 +18,9 @@ import numpy as np
 from lectern.llm.common import tokenizer_file
 
 BYTE_BPE = "byte_bpe_50k.json"
-# Words kept by a task's cache before it starts anew.
-CACHE_WORDS = 600_000
+# Words in a generation of a task's cache. A full generation becomes the old one, from
+# which words that come again are taken over; the one before it goes.
+CACHE_WORDS = 200_000
 _SPACE_RUN = re.compile(r"\s\s")
 # How the vocabulary file writes a space.
 _SPACE = "\u0120"
@@ -48,11 +49,8 @@ class WordEncoder:
         self._cache_words = cache_words
         self._newline = int(self._ids("\n")[0])
         # A word with the space or the line break before it; "" is a space alone.
-        self._known: dict[str, bytes] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self._known = {"": self._whole(" "), "\n": self._whole("\n")}
+        self._always = {"": self._whole(" "), "\n": self._whole("\n")}
+        self._known, self._old = dict(self._always), {}
 
     def _ids(self, text: str) -> np.ndarray:
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -65,8 +63,11 @@ class WordEncoder:
         """Encode unknown words together: where each begins shows in the ids."""
         new = [w for w in dict.fromkeys(words) if w not in self._known]
         if len(self._known) + len(new) > self._cache_words:
-            self._reset()
+            self._old, self._known = self._known, dict(self._always)
             new = [w for w in dict.fromkeys(words) if w not in self._known]
+        again = self._old.keys() & new
+        self._known.update((w, self._old[w]) for w in again)
+        new = [w for w in new if w not in again]
         spaced = [w for w in new if w[0] != "\n"]
         broken = [w for w in new if w[0] == "\n"]
         if spaced:

@@ -10,7 +10,7 @@ import xxhash
 # Words hashed together, so that array calls are few.
 GROUP_WORDS = 150_000
 # Words kept by a task's cache before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 

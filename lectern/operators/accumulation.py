@@ -17,21 +17,31 @@ def parcel_means(
     """Mean over the vertices of each parcel, per row of a response matrix.
 
     ``atlas`` maps every ``vertex`` (array position, from 0) to a ``parcel``. It is
-    as long as one row's array, so it travels as one array in a scalar subquery and
-    the matrix is not shuffled to meet it. A row's vertices sit in one task, where
-    its means are formed before anything moves.
+    as long as one row's array, so it travels as one array in a scalar subquery. Means
+    are formed within the row's array and nothing is shuffled: ``keys`` name a row, and
+    rows that share them are averaged apart. A row longer than the atlas is an error.
     """
     ordered = F.sort_array(F.collect_list(F.struct("vertex", "parcel")))
     gaps = F.size(F.filter("a", lambda x, i: x.vertex != i)) > 0
     parcels = F.transform("a", lambda x: x.parcel)
     refused = F.raise_error(F.lit("atlas vertices are not 0, 1, 2, ...")).cast(_array_of(atlas))
     lookup = atlas.agg(ordered.alias("a")).select(F.when(gaps, refused).otherwise(parcels)).scalar()
-    long = matrix.select(*keys, F.posexplode(values).alias("vertex", "value"))
-    return (
-        long.withColumn("parcel", F.get(lookup, F.col("vertex")))
-        .groupBy(*keys, "parcel")
-        .agg(F.avg(F.col("value").cast("double")).alias("mean_value"))
+    longer = F.raise_error(F.lit("a row is longer than the atlas")).cast(_array_of(atlas))
+    fitting = F.when(F.size(values) > F.size(lookup), longer).otherwise(lookup)
+    paired = F.arrays_zip(fitting.alias("parcel"), F.col(values).alias("value"))
+    own = F.slice(paired, F.lit(1), F.size(values))
+    means = F.transform(
+        F.array_distinct(F.slice(fitting, F.lit(1), F.size(values))),
+        lambda p: F.struct(p.alias("parcel"), _mean_of(own, p).alias("mean_value")),
     )
+    return matrix.select(*keys, F.explode(means).alias("m")).select(*keys, "m.*")
+
+
+def _mean_of(pairs: Column, parcel: Column) -> Column:
+    """Mean of the values of one parcel that are not null."""
+    mine = F.filter(pairs, lambda x: x.parcel.eqNullSafe(parcel) & x.value.isNotNull())
+    total = F.aggregate(mine, F.lit(0.0), lambda s, x: s + x.value.cast("double"))
+    return F.when(F.size(mine) > 0, total / F.size(mine))
 
 
 def _array_of(atlas: DataFrame) -> str:

@@ -156,13 +156,15 @@ def standardized_mean_differences(
     """(anchor mean - condition mean) over the pooled deviation, per feature.
 
     ``units`` holds one row per unit and condition. Refused with a code when a
-    group is smaller than ``min_units`` or the pooled deviation is zero. The
-    anchor's one row of moments comes as a scalar subquery: both sides read their
-    own conditions only, and any number of conditions may be compared.
+    group is smaller than ``min_units`` or the pooled deviation is zero. The table is
+    aggregated once, and the anchor's moments are put beside the other conditions' in
+    that small result.
     """
     moments = group_moments(units, features, condition)
-    goal = moments.filter(F.col(condition) == anchor).select(F.struct("*")).scalar()
-    others = moments.filter(F.col(condition) != anchor).withColumn("goal", goal)
+    every = F.struct(*[F.col(c) for c in moments.columns if c != condition])
+    # One row per condition, so the window over all of them is small however large the table.
+    goal = F.max(F.when(F.col(condition) == anchor, every)).over(Window.partitionBy(F.lit(0)))
+    others = moments.withColumn("goal", goal).filter(F.col(condition) != anchor)
     rows = F.array(
         *[
             F.struct(
@@ -193,12 +195,17 @@ def standardized_mean_differences(
 
 
 def smd_gate(smds: DataFrame, condition: str, target: float = SMD_TARGET) -> DataFrame:
-    """Does every feature of a condition stay below the target?"""
-    small = F.coalesce(F.abs("smd") < F.lit(float(target)), F.lit(False))
+    """Does every feature of a condition that has a difference stay below the target?
+
+    Features whose difference is refused, such as one that never varies, are counted in
+    ``n_refused`` and do not decide; a condition without any defined one is not matched.
+    """
+    largest = F.max(F.abs("smd"))
     return smds.groupBy(condition).agg(
-        F.count(F.lit(1)).alias("n_features"),
-        F.max(F.abs("smd")).alias("max_abs_smd"),
-        F.bool_and(small).alias("matched"),
+        F.count("smd").alias("n_features"),
+        F.count_if(F.col("smd").isNull()).alias("n_refused"),
+        largest.alias("max_abs_smd"),
+        F.coalesce(largest < F.lit(float(target)), F.lit(False)).alias("matched"),
     )
 
 

@@ -1,8 +1,10 @@
 """Covariance and Mahalanobis distance of wide vector columns.
 
-A vector of 64 numbers has 2,080 covariances: too many aggregate expressions, but
-one small matrix per task. Each task multiplies its own rows with numpy and hands
-on one matrix; Spark adds the matrices up.
+A vector of 64 numbers has 2,080 covariances: too many aggregate expressions, but one
+small matrix per task. Each task multiplies its own rows with numpy and hands on one
+matrix; Spark adds the matrices up, and the sum never leaves the executors. A task
+holds a matrix of width x width: reduce vectors of many thousand positions first, as
+with :func:`lectern.operators.accumulation.parcel_means`.
 """
 
 from __future__ import annotations
@@ -12,117 +14,130 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.errors import guarded
+from lectern.functions.errors import first_error, guarded
 from lectern.operators.matching import MIN_UNITS, invert_covariance
 
-# Widest vector whose matrix is brought to the driver (8 MB of doubles).
-MAX_WIDTH = 1024
-
-
-def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A batch's list column as a matrix; every list must have the same length."""
-    if len(pc.unique(pc.list_value_length(column))) != 1:
-        raise ValueError("vectors differ in width")
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
-
-
-def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Upper triangle of the task's sum of outer products of (vector, 1)."""
-    total = None
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        x = _rows(batch.column(0))
-        x = np.hstack([x, np.ones((len(x), 1))])
-        total = x.T @ x if total is None else total + x.T @ x
-    if total is not None:
-        i, j = np.triu_indices(len(total))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(total[i, j])],
-            names=["i", "j", "g"],
-        )
-
-
-def _gram_sums(df: DataFrame, vector: str) -> DataFrame:
-    """Summed products ``(i, j, g)``; the last index stands for the constant 1."""
-    present = df.select(vector).filter(F.col(vector).isNotNull())
-    return (
-        present.mapInArrow(_gram, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+
+def vector_error(vector: str, width: int) -> Column:
+    """Code of a vector that takes no part: absent, of another width, or with gaps."""
+    x = F.col(vector)
+    gap = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")))
+    return first_error(
+        ("bad_vector", x.isNull() | (F.size(x) != width)),
+        ("incomplete_vector", gap),
     )
 
 
-def vector_covariance(df: DataFrame, vector: str) -> DataFrame:
+def _gram_sums(df: DataFrame, vector: str, width: int, anchor: Column | None = None) -> DataFrame:
+    """Summed products ``i, j, g, a`` of the vectors that take part; ``a`` over anchors.
+
+    The last index stands for the constant 1, so its products are sums and counts.
+    Products of anchors are kept for that index only.
+    """
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, marked = np.zeros((width + 1, width + 1)), np.zeros(width + 1)
+        seen = 0
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+            x = np.hstack([flat.reshape(-1, width), np.ones((batch.num_rows, 1))])
+            total += x.T @ x
+            marked += x[batch.column(1).to_numpy(zero_copy_only=False).astype(bool)].sum(axis=0)
+            seen += batch.num_rows
+        if seen:
+            i, j = np.triu_indices(width + 1)
+            a = np.where(j == width, marked[i], 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(total[i, j]), pa.array(a)],
+                names=["i", "j", "g", "a"],
+            )
+
+    flag = F.lit(False) if anchor is None else anchor
+    whole = df.filter(vector_error(vector, width).isNull()).select(vector, flag.alias("anchor"))
+    sums = whole.mapInArrow(multiply, "i int, j int, g double, a double")
+    return sums.groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("a").alias("a"))
+
+
+def _gathered(sums: DataFrame) -> DataFrame:
+    """All sums as one row, in the order of their indices."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "g", "a")))
+    return sums.agg(cells.alias("cells"))
+
+
+def vector_covariance(df: DataFrame, vector: str, width: int) -> DataFrame:
     """Sample covariance of every pair of vector positions: ``i, j, covariance, n``.
 
-    The sums of the single positions and the row count sit in the same small
-    table; they come back as one array in a scalar subquery.
+    Vectors with a :func:`vector_error` are left out of all sums. One pass: the edge of
+    the summed matrix holds the row count and the sums that centre the products.
     """
-    sums = _gram_sums(df, vector)
-    last = sums.agg(F.max("j")).scalar()
-    edge = (
-        sums.filter(F.col("j") == last)
-        .agg(F.sort_array(F.collect_list(F.struct("i", "g"))).alias("e"))
-        .select(F.transform("e", lambda x: x.g))
-        .scalar()
-    )
-    n = F.get(edge, last)
-    centred = F.col("g") - F.get(edge, F.col("i")) * F.get(edge, F.col("j")) / n
-    return sums.filter(F.col("j") < last).select(
-        F.col("i").cast("long").alias("i"),
-        F.col("j").cast("long").alias("j"),
+    row = _gathered(_gram_sums(df, vector, width))
+    edge = F.transform(F.filter("cells", lambda c: c.j == width), lambda c: c.g)
+    cells = row.select(edge.alias("e"), F.explode("cells").alias("c")).filter(F.col("c.j") < width)
+    n = F.get("e", F.lit(width))
+    centred = F.col("c.g") - F.get("e", F.col("c.i")) * F.get("e", F.col("c.j")) / n
+    return cells.select(
+        F.col("c.i").cast("long").alias("i"),
+        F.col("c.j").cast("long").alias("j"),
         F.when(n > 1, centred / (n - 1)).alias("covariance"),
         n.cast("long").alias("n"),
     )
 
 
-def _matrix(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """``(covariance, mean, n)`` from collected sums of products."""
-    size = int(sums["j"].max()) + 1
-    g = np.zeros((size, size))
-    g[sums["i"], sums["j"]] = sums["g"]
-    n = int(g[-1, -1])
-    mean = g[:-1, -1] / n
-    upper = (g[:-1, :-1] - n * np.triu(np.outer(mean, mean))) / max(n - 1, 1)
-    return upper + np.triu(upper, 1).T, mean, n
+def _whitening(width: int, min_units: int):
+    """UDF for the one row of sums: rows of a square root of the inverse, the anchors' mean."""
+
+    @F.pandas_udf("root array<array<double>>, mean array<double>, error string")
+    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        i, j = np.triu_indices(width + 1)
+        for products, marked in batches:
+            out = []
+            for g, a in zip(products, marked, strict=True):
+                if len(g) == 0:
+                    out.append((None, None, "min_units"))
+                    continue
+                gram, anchors = np.zeros((width + 1, width + 1)), np.zeros((width + 1, width + 1))
+                gram[i, j], anchors[i, j] = g, a
+                n, known = int(gram[-1, -1]), anchors[-1, -1]
+                mean = gram[:-1, -1] / n
+                upper = (gram[:-1, :-1] - n * np.triu(np.outer(mean, mean))) / max(n - 1, 1)
+                inverse, error = invert_covariance(upper + np.triu(upper, 1).T, n, min_units)
+                if error is None and known == 0:
+                    error = "no_anchor"
+                if error:
+                    out.append((None, None, error))
+                else:
+                    root = np.linalg.cholesky((inverse + inverse.T) / 2).T
+                    out.append((root.tolist(), (anchors[:-1, -1] / known).tolist(), None))
+            yield pd.DataFrame(out, columns=["root", "mean", "error"])
+
+    return solve
 
 
 def mahalanobis_to_mean(
-    df: DataFrame, vector: str, is_anchor: Column, min_units: int = MIN_UNITS
+    df: DataFrame, vector: str, is_anchor: Column, width: int, min_units: int = MIN_UNITS
 ) -> DataFrame:
     """Distance of every non-anchor vector from the anchor rows' mean vector.
 
-    The covariance comes from all rows. It and the mean are fixed by the vector's
-    width, whatever the number of rows, and that width is checked before they are
-    brought to the driver; the vectors themselves never leave their partitions.
+    Covariance and mean come from one pass over the vectors that take part; others keep
+    their row and get their :func:`vector_error`. The matrix is inverted in one row of a
+    query and comes back as a scalar subquery, so nothing passes through the driver.
     """
     flagged = df.withColumn("anchor", F.coalesce(is_anchor, F.lit(False)))
-    width = flagged.agg(F.max(F.size(vector)).alias("p")).first()["p"]
-    if width is None or width > MAX_WIDTH:
-        raise ValueError(f"vectors of width {width}, at most {MAX_WIDTH} are handled")
-    fits = F.coalesce(F.size(vector) == width, F.lit(False))
-    whole = flagged.filter(fits)
-    cov, _, n = _matrix(_gram_sums(whole, vector).toPandas())
-    anchor_sums = _gram_sums(whole.filter("anchor"), vector).toPandas()
-    inverse, refused = invert_covariance(cov, n, min_units)
-    if refused is None and anchor_sums.empty:
-        refused = "no_anchor"
-    goal = None if anchor_sums.empty else _matrix(anchor_sums)[1]
-
-    @F.pandas_udf("double")
-    def distance(rows: pd.Series) -> pd.Series:
-        out = pd.Series(np.nan, index=rows.index)
-        present = rows.notna()
-        if present.any():
-            d = np.vstack(rows[present].to_numpy()).astype(float) - goal
-            out[present] = np.sqrt(np.einsum("ri,ij,rj->r", d, inverse, d))
-        return out
-
-    others = flagged.filter(~F.col("anchor")).drop("anchor")
-    error = F.lit(refused).cast("string") if refused else F.when(~fits, "bad_vector")
-    value = F.lit(None).cast("double") if refused else distance(F.when(fits, F.col(vector)))
-    return others.withColumn("error", error).withColumn("distance", guarded(value, F.col("error")))
+    row = _gathered(_gram_sums(flagged, vector, width, F.col("anchor")))
+    products = F.transform("cells", lambda c: c.g).alias("g")
+    marked = F.transform("cells", lambda c: c.a).alias("a")
+    solved = row.select(products, marked).select(_whitening(width, min_units)("g", "a").alias("m"))
+    model = solved.select("m").scalar()
+    staged = flagged.filter(~F.col("anchor")).drop("anchor").withColumn("m", model)
+    error = F.coalesce(F.col("m.error"), vector_error(vector, width))
+    apart = F.zip_with(F.col(vector), F.col("m.mean"), lambda x, y: x.cast("double") - y)
+    staged = staged.withColumn("error", error).withColumn("d", F.when(F.col("error").isNull(), apart))
+
+    def dot(weights: Column) -> Column:
+        return F.aggregate(F.zip_with(weights, "d", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    square = F.aggregate(F.transform("m.root", dot), F.lit(0.0), lambda s, y: s + y * y)
+    return staged.withColumn("distance", guarded(F.sqrt(square), F.col("error"))).drop("m", "d")

@@ -18,6 +18,8 @@ from lectern.session import spread
 UNIT = "source"
 CONDITION = "lang"
 ANCHOR = "en"
+# Positions of an embedding, as its table declares.
+VECTOR_WIDTH = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -291,10 +291,13 @@ WITH talks AS (
         || (CASE WHEN conv_id % 5 = 1 AND turn <= 2 THEN ' so 1' ELSE '' END)
       ELSE text END AS text
   FROM conversations),
+spoken AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS idx
+  FROM talks WHERE speaker IS NOT NULL),
 firsts AS (
-  SELECT conv_id, count(*) FILTER (speaker IS NOT NULL) AS n_turns,
-         min(pos) FILTER (speaker = 'LEARNER' AND regexp_matches(text, '[0-9]')) AS first
-  FROM talks GROUP BY conv_id),
+  SELECT conv_id, count(idx) AS n_turns,
+         min(idx) FILTER (speaker = 'LEARNER' AND regexp_matches(text, '[0-9]')) AS first
+  FROM (SELECT DISTINCT conv_id FROM talks) LEFT JOIN spoken USING (conv_id) GROUP BY conv_id),
 tutored AS (
   SELECT conv_id, pos, condition,
     CASE WHEN lower({_strip('text')}) LIKE 'hint:%' THEN 'hint'
@@ -404,8 +407,9 @@ FROM f LEFT JOIN a USING (source) WHERE lang <> 'en'
     "smd_by_feature": _SMDS
     + "SELECT lang, feature, n_anchor, n, round(smd, 6) AS smd, error FROM smds",
     "smd_gate": _SMDS
-    + """SELECT lang, count(*) AS n_features, round(max(abs(smd)), 6) AS max_abs_smd,
-       bool_and(coalesce(abs(smd) < 0.1, false)) AS matched FROM smds GROUP BY lang""",
+    + """SELECT lang, count(smd) AS n_features, count(*) FILTER (smd IS NULL) AS n_refused,
+       round(max(abs(smd)), 6) AS max_abs_smd, count(smd) > 0 AND coalesce(max(abs(smd)) < 0.1, false) AS matched
+       FROM smds GROUP BY lang""",
     "smd_min_units_guard": _features() + _GUARD,
     "feature_covariance": _features() + _COVARIANCE,
     "mahalanobis_to_anchor": _MAHALANOBIS,
@@ -437,12 +441,14 @@ FROM audited GROUP BY problem""",
     + """, diffs AS (
   SELECT 'margin' AS formula, p - v AS a, -(v - p) AS b FROM lines
   UNION ALL SELECT 'ratio', (p - v) / p, 1 - v / p FROM lines
-  UNION ALL SELECT 'quantity', fc / nullif(p - v, 0), fc / p FROM lines)
+  UNION ALL SELECT 'quantity', fc / nullif(p - v, 0), fc / p FROM lines
+  UNION ALL SELECT 'partial', CASE WHEN p > 1000 THEN p - v END, p - v FROM lines)
 SELECT formula, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS points,
-  count(*) FILTER (NOT ("""
+  count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS one_sided,
+  count(*) FILTER ((a IS NULL) <> (b IS NULL) OR NOT ("""
     + _CLOSE.format(a="a", b="b")
     + """)) AS disagreements,
-  count(*) FILTER (NOT ("""
+  count(*) FILTER ((a IS NULL) <> (b IS NULL) OR NOT ("""
     + _CLOSE.format(a="a", b="b")
     + """)) = 0 AS equivalent
 FROM diffs GROUP BY formula""",
@@ -487,10 +493,11 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id""",
        CASE WHEN n_turns = 0 THEN 'no_turns' WHEN first IS NULL THEN 'no_attempt' END AS error FROM firsts""",
     "leakage_turn_table": _TALKS
     + f"""SELECT conv_id, CASE WHEN first IS NOT NULL THEN contains(
-         {_normalize("coalesce(string_agg(" + _strip('text') + ", ' ' ORDER BY pos) FILTER (speaker = 'TUTOR' AND pos < first), '')")},
+         {_normalize("coalesce(string_agg(" + _strip('text') + ", ' ' ORDER BY pos) FILTER (speaker = 'TUTOR' AND idx < first), '')")},
          any_value(final_answer)) END AS leaked, first AS first_attempt_turn_index,
        CASE WHEN n_turns = 0 THEN 'no_turns' WHEN first IS NULL THEN 'no_attempt' END AS error
-FROM talks JOIN firsts USING (conv_id) GROUP BY conv_id, first, n_turns""",
+FROM talks JOIN firsts USING (conv_id) LEFT JOIN (SELECT conv_id, pos, idx FROM spoken) USING (conv_id, pos)
+GROUP BY conv_id, first, n_turns""",
     "turn_labels": _TALKS + "SELECT conv_id, pos, label FROM tutored",
     "turn_label_counts": _TALKS
     + """SELECT condition, count(*) FILTER (label = 'guiding_question') AS guiding_question,

@@ -245,9 +245,10 @@ def formula_equivalence(spark, sf):
     return V.formula_equivalence(
         points,
         {
-            "margin": (V.contribution_margin_expr(), "-(V - P)"),
+            "margin": (V.formula("contribution_margin_expr"), "-(V - P)"),
             "ratio": ("(P - V) / P", "1 - V / P"),
             "quantity": ("F / nullif(P - V, 0)", "F / P"),
+            "partial": ("CASE WHEN P > 1000 THEN P - V END", "P - V"),
         },
     )
 
@@ -458,7 +459,7 @@ def parcel_means(spark, sf):
 
 @query("vector_covariance")
 def vector_covariance(spark, sf):
-    out = vectors.vector_covariance(I.table(spark, sf, "embeddings"), "embedding")
+    out = vectors.vector_covariance(I.table(spark, sf, "embeddings"), "embedding", I.VECTOR_WIDTH)
     # Adding zero turns a rounded -0.0 into 0.0.
     return out.withColumn("covariance", F.round("covariance", 8) + 0.0)
 
@@ -467,7 +468,7 @@ def vector_covariance(spark, sf):
 def vector_mahalanobis(spark, sf):
     """Every vector of the other labels from the mean vector of label 0."""
     out = vectors.mahalanobis_to_mean(
-        I.table(spark, sf, "embeddings"), "embedding", F.col("label") == 0
+        I.table(spark, sf, "embeddings"), "embedding", F.col("label") == 0, I.VECTOR_WIDTH
     )
     return out.select("vec_id", "label", F.round("distance", 6).alias("distance"), "error")
 

@@ -174,6 +174,16 @@ def test_first_attempts_and_errors(spark):
     assert leaks == {0: (True, None), 1: (None, "no_attempt"), 2: (None, "no_turns")}
 
 
+def test_attempt_index_counts_spoken_turns_only(spark):
+    """System turns before and between, and positions that are neither dense nor from 0."""
+    talk = [("SYSTEM", "1"), ("TUTOR", "so 12"), ("SYSTEM", "2"), (None, "3"), ("LEARNER", "no"), ("LEARNER", "4"), ("TUTOR", "5")]
+    rows = [(7, 10**9 * (i + 1), who, text, "12") for i, (who, text) in enumerate(talk)]
+    table = spark.createDataFrame(rows, "conv int, pos long, speaker string, text string, answer string").repartition(3)
+    assert D.first_attempts(table, "conv").first()["first_attempt_turn_index"] == 2
+    row = D.turn_leakage(table, "conv", "answer").first()
+    assert (row["first_attempt_turn_index"], row["leaked"]) == (2, True)
+
+
 def test_label_counts_fill_zeros(spark):
     table = as_turn_table(spark, [([("TUTOR", "Why?"), ("LEARNER", "Hint: no"), ("TUTOR", "Hint: b")], "1")])
     row = D.label_counts(D.label_turns(table), "conv").first()

@@ -163,22 +163,32 @@ def wide(spark):
 def test_vector_covariance(wide):
     x, df = wide
     want = np.cov(x, rowvar=False)
-    rows = VEC.vector_covariance(df, "v").collect()
+    rows = VEC.vector_covariance(df, "v", 7).collect()
     assert len(rows) == 28
     for r in rows:
         assert r["covariance"] == pytest.approx(want[r["i"], r["j"]], rel=1e-8, abs=1e-9) and r["n"] == 60
 
 
+def test_vectors_of_another_width_take_no_part(spark, wide):
+    """Neither a long row nor a row with a gap changes a sum, in whatever task they are."""
+    x, df = wide
+    odd = spark.createDataFrame([(-1, [1.0] * 8, 0), (-2, [None] * 7, 0), (-3, [float("nan")] * 7, 0)], df.schema)
+    rows = VEC.vector_covariance(df.union(odd).repartition(9), "v", 7).collect()
+    want = np.cov(x, rowvar=False)
+    assert {r["n"] for r in rows} == {60}
+    assert all(r["covariance"] == pytest.approx(want[r["i"], r["j"]], rel=1e-8, abs=1e-9) for r in rows)
+
+
 def test_vector_mahalanobis_brute_force(spark, wide):
     x, df = wide
-    odd = spark.createDataFrame([(100, None, 1), (101, [1.0], 1)], df.schema)
-    got = {r["i"]: r for r in VEC.mahalanobis_to_mean(df.union(odd), "v", F.col("label") == 0).collect()}
+    odd = spark.createDataFrame([(100, None, 1), (101, [1.0], 1), (102, [1.0] * 6 + [None], 1), (103, [2.0] * 9, 0)], df.schema)
+    got = {r["i"]: r for r in VEC.mahalanobis_to_mean(df.union(odd), "v", F.col("label") == 0, 7).collect()}
     inverse = np.linalg.inv(np.cov(x, rowvar=False))
     goal = x[::3].mean(axis=0)
-    assert len(got) == 42
+    assert len(got) == 43 and got[102]["error"] == "incomplete_vector"
     for i in range(60):
         if i % 3:
             d = x[i] - goal
             assert got[i]["distance"] == pytest.approx(float(np.sqrt(d @ inverse @ d)), rel=1e-8)
     assert got[100]["error"] == got[101]["error"] == "bad_vector"
-    assert VEC.mahalanobis_to_mean(df.limit(5), "v", F.col("label") == 0).first()["error"] == "min_units"
+    assert VEC.mahalanobis_to_mean(df.limit(5), "v", F.col("label") == 0, 7).first()["error"] == "min_units"

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lectern.plans.workload import QUERIES
 from tools.compare import differences
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = queries()[name](spark, SF).toPandas()
     assert len(got) > 0

@@ -111,21 +111,22 @@ def test_numeric_close_equals_isclose(spark):
 
 
 def test_answer_text(one):
-    for value, want in ((4000.0, "4000"), (1e7, "10000000"), (0.375, "0.375"), (-2.0, "-2"), (1e300, "1.0E300")):
+    for value, want in ((4000.0, "4000"), (1e7, "10000000"), (0.375, "0.375"), (-2.0, "-2"), (1e300, "1.0E300"), (1e15, "1000000000000000"), (1e-5, "0.00001"), (12345678.5, "12345678.5")):
         assert one({"x": value}, "x double", answer_text(F.col("x"))) == want
 
 
 def test_formula_equivalence(spark):
     points = spark.createDataFrame([(float(p), float(v)) for p in range(1, 9) for v in range(8)], "P double, V double")
     got = {
-        r["formula"]: (r["points"], r["disagreements"], r["equivalent"])
+        r["formula"]: (r["points"], r["one_sided"], r["disagreements"], r["equivalent"])
         for r in V.formula_equivalence(
-            points, {"same": ("P - V", "-(V - P)"), "other": ("P - V", "P + V"), "undefined": ("P / nullif(V, 0)", "P / nullif(V, 0)")}
+            points, {"same": ("P - V", "-(V - P)"), "other": ("P - V", "P + V"), "undefined": ("P / nullif(V, 0)", "P / nullif(V, 0)"), "partial": ("CASE WHEN P > 7 THEN P - V END", "P - V")}
         ).collect()
     }
-    assert got["same"] == (64, 0, True)
-    assert got["other"] == (64, 56, False)
-    assert got["undefined"] == (56, 0, True)
+    assert got["same"] == (64, 0, 0, True)
+    assert got["other"] == (64, 0, 56, False)
+    assert got["undefined"] == (56, 0, 0, True)
+    assert got["partial"] == (8, 56, 56, False)
     assert V.check_formula(points, "contribution_margin_expr", "P - V").first()["equivalent"]
     assert not V.check_formula(points, "contribution_margin_expr", "P * V").first()["equivalent"]
     with pytest.raises(ValueError):
