@@ -36,6 +36,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return pc.cast(column, pa.binary()).to_pylist()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until the frame has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes
+from lectern.llm.common import as_bytes, free_name
 from lectern.llm.words import WordHasher, groups, runs
 
 SHINGLE = 5
@@ -162,5 +162,5 @@ def leak_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> Dat
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that contain no item, with the columns they came with."""
-    name = "_leaks"
+    name = free_name(docs, "_leaks")
     return find_leaks(docs, items, output=name).filter(F.size(name) == 0).drop(name)

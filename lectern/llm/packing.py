@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import blocks_for
+from lectern.llm.common import blocks_for, free_name
 from lectern.llm.tokens import encode_all
 
 CAPACITY = 1024
@@ -134,18 +134,20 @@ def pack(
     pieces are sequences of their own. Each task packs its share in the order of a
     hash, which mixes lengths and does not depend on how rows arrived: a task that
     runs again places every piece as before. Within a round long pieces come first.
-    Rows that repeat are packed repeatedly.
+    Rows that repeat are packed repeatedly; columns that have the outputs' names are replaced.
     """
     tasks = blocks_for(rows, pieces_per_task)
     rounds = blocks_for(blocks_for(rows, tasks), ROUND)
-    others = [c for c in pieces.columns]
+    pieces = pieces.drop("sequence_id", "offset")
+    others = pieces.columns
+    mix, task_col, turn = (free_name(pieces, n) for n in ("mix", "task", "round"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit = BestFit(capacity, open_bins)
         for batch in batches:
             spots = [fit.place(n) for n in batch.column("length").to_pylist()]
-            task = batch.column("task")
+            task = batch.column(task_col)
             numbers = pa.array([n for n, _ in spots], pa.int64())
             ids = pc.add(pc.multiply(task, 1 << 40), numbers)
             yield pa.RecordBatch.from_arrays(
@@ -153,12 +155,11 @@ def pack(
                 names=[*others, "sequence_id", "offset"],
             )
 
-    mixed = F.xxhash64("doc_id", "piece")
-    shared = pieces.withColumn("mix", mixed).repartition(tasks, "mix")
+    shared = pieces.withColumn(mix, F.xxhash64("doc_id", "piece")).repartition(tasks, mix)
     ordered = (
-        shared.withColumn("task", F.spark_partition_id().cast("long"))
-        .withColumn("round", F.pmod(F.shiftright("mix", 20), F.lit(rounds)))
-        .sortWithinPartitions("round", F.desc("length"), "mix", *others)
+        shared.withColumn(task_col, F.spark_partition_id().cast("long"))
+        .withColumn(turn, F.pmod(F.shiftright(mix, 20), F.lit(rounds)))
+        .sortWithinPartitions(turn, F.desc("length"), mix, *others)
     )
     return ordered.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 

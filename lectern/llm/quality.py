@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, save_stage
+from lectern.llm.common import as_bytes, free_name, save_stage
 
 PLACES = 4096
 RANK = 48
@@ -234,5 +234,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, as they came."""
-    scored = score_documents(docs, fit(docs, labels), output="_score")
-    return scored.filter(F.col("_score") >= THRESHOLD).drop("_score")
+    name = free_name(docs, "_score")
+    scored = score_documents(docs, fit(docs, labels), output=name)
+    return scored.filter(F.col(name) >= THRESHOLD).drop(name)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, save_stage
+from lectern.llm.common import as_bytes, free_name, save_stage
 from lectern.llm.components import components
 
 SHINGLE = 3
@@ -227,5 +227,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat the kept id all stay, and so do rows without an id.
     """
     classes = near_duplicates(docs, id_col, text_col)
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import as_bytes, save_stage
+from lectern.llm.common import as_bytes, free_name, save_stage
 from lectern.llm.words import Group, WordHasher, groups, mixed, runs
 
 WINDOW = 13
@@ -214,7 +214,7 @@ def _removal(text_at: int, window: int):
         hasher = WordHasher()
         for batch in batches:
             texts = as_bytes(batch.column(text_at))
-            lists = [batch.column(n).to_pylist() for n in ("_copied", "_repeated")]
+            lists = [batch.column(batch.num_columns - k).to_pylist() for k in (2, 1)]
             n_words, n_removed, factors, kept = [], [], [], []
             for text, starts in zip(texts, _starts(texts, *lists, hasher, window), strict=True):
                 words = text.split() if text else []
@@ -274,14 +274,15 @@ def remove_repeats(
 
     own = docs.drop("n_words", "n_removed", "factors")
     names = own.columns
-    known = lists.select(F.col("doc_id").alias("_id"), F.col("copied").alias("_copied"))
-    again = repeated.select(F.col("doc_id").alias("_again"), F.col("repeated").alias("_repeated"))
-    joined = own.join(known, F.col(id_col) == F.col("_id"), "left").join(
-        again, F.col(id_col) == F.col("_again"), "left"
+    key, other, copied, again = (free_name(own, n) for n in ("_id", "_again", "_copied", "_repeated"))
+    known = lists.select(F.col("doc_id").alias(key), F.col("copied").alias(copied))
+    found = repeated.select(F.col("doc_id").alias(other), F.col("repeated").alias(again))
+    joined = own.join(known, F.col(id_col) == F.col(key), "left").join(
+        found, F.col(id_col) == F.col(other), "left"
     )
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
     added = "n_words long, n_removed long, factors array<struct<start:int,length:int>>"
-    return joined.select(*[F.col(f"`{n}`") for n in names], "_copied", "_repeated").mapInArrow(
+    return joined.select(*[F.col(f"`{n}`") for n in names], copied, again).mapInArrow(
         _removal(names.index(text_col), window), f"{schema}, {added}"
     )
 

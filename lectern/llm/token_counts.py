@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import tokenizer_file
+from lectern.llm.common import free_name, tokenizer_file
 
 PIECE_MODEL = "piece_bpe_32k.model"
 # How the vocabulary writes a space.
@@ -138,5 +138,5 @@ def count_tokens(
                 [*batch.columns[:-1], counts], names=[*others, output]
             )
 
-    staged = kept.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").alias("_text"))
+    staged = kept.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").alias(free_name(kept, "_text")))
     return staged.mapInArrow(run, f"{schema}, `{output}` long")
