@@ -35,6 +35,8 @@ THRESHOLD = 0.3
 SHARPNESS = 8.0
 # Length of a share of one, beside the unit vector of the trigrams.
 SHARE_WEIGHT = 2.0
+# Vectors beyond the rank that subspace iteration carries, its rounds and its start.
+_SPARE, _ROUNDS, _START = 16, 12, 42
 _SLICE = 1 << 20
 _CAPITALS = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
@@ -68,11 +70,16 @@ class Features:
     """Log frequencies of places and shares of many texts, one row per text."""
 
     def __init__(self, counts: list[np.ndarray], of_shares: list[list[float]]):
-        self.places = np.log1p(np.array(counts, np.float32).reshape(-1, PLACES))
+        self.places = np.array(counts, np.float32).reshape(-1, PLACES)
+        np.log1p(self.places, out=self.places)
         self.shares = np.array(of_shares, np.float32).reshape(-1, 4)
 
     def weighted(self, weights: np.ndarray) -> np.ndarray:
-        return np.hstack([_unit(self.places * weights), SHARE_WEIGHT * self.shares])
+        out = np.empty((len(self.places), PLACES + 4), np.float32)
+        np.multiply(self.places, weights, out=out[:, :PLACES])
+        out[:, :PLACES] /= np.maximum(np.linalg.norm(out[:, :PLACES], axis=1, keepdims=True), 1e-12)
+        np.multiply(self.shares, SHARE_WEIGHT, out=out[:, PLACES:])
+        return out
 
 
 def features(texts: list[bytes | None]) -> Features:
@@ -182,6 +189,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def leading_directions(x: np.ndarray, rank: int) -> np.ndarray:
+    """The first right singular vectors of a matrix, by subspace iteration.
+
+    Needs no memory beside the matrix but some vectors more than ``rank``; the start is
+    fixed, so the same matrix gives the same directions.
+    """
+    k = min(rank + _SPARE, *x.shape)
+    q = np.random.default_rng(_START).standard_normal((x.shape[1], k), np.float32)
+    for _ in range(_ROUNDS):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, values, turn = np.linalg.svd(x @ q, full_matrices=False)
+    keep = values[:rank] > 1e-4 * max(values[0], 1e-12)
+    return (q @ turn[:rank].T)[:, keep]
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, rank: int = RANK) -> Model:
     """Fit the latent space and keep the sample's vectors.
 
@@ -195,9 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, r
         nothing = np.zeros((0, rank), np.float32)
         return Model(weights, np.zeros((PLACES + 4, rank), np.float32), nothing, marks, 0.5)
     x = sample.weighted(weights)
-    values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
-    keep = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-9]
-    basis = (x.T @ (vectors[:, keep] / np.sqrt(values[keep]))).astype(np.float32)
+    basis = leading_directions(x, rank)
     return Model(weights, basis, _unit(x @ basis), marks, float(marks.mean()))
 
 

@@ -148,6 +148,15 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 40 and sum(p == q for p, q in held) / len(held) > 0.85
 
 
+def test_leading_directions_are_those_of_the_decomposition():
+    rng = np.random.default_rng(1)
+    x = (rng.standard_normal((200, 30)) * 0.8 ** np.arange(30)) @ rng.standard_normal((30, 90))
+    found = quality.leading_directions(x.astype(np.float32), 8)
+    right = np.linalg.svd(x, full_matrices=False)[2][:8].T
+    assert np.allclose(found @ found.T, right @ right.T, atol=1e-3)
+    assert quality.leading_directions(np.ones((3, 9), np.float32), 8).shape == (9, 1)
+
+
 def test_quality_on_odd_rows(docs, rows, nothing, spark):
     labels = spark.createDataFrame([(20, 1), (21, 0), (12, 1), (12, 0), (99, 1)], "doc_id long, quality int")
     assert quality.quality_scores(docs, labels).count() == len(rows)
