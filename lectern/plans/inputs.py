@@ -18,6 +18,8 @@ from lectern.session import spread
 UNIT = "source"
 CONDITION = "lang"
 ANCHOR = "en"
+# Documents in a row that make up one unit of the acceptance run.
+UNIT_DOCUMENTS = 8
 # Positions of an embedding, as its table declares.
 VECTOR_WIDTH = 64
 
@@ -186,8 +188,19 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     A fifth of them state the answer before the learner tries, a fifth split it
     over two tutor turns, and a fifth hold no attempt.
     """
+    return documents(spark, sf).select(
+        "doc_id",
+        UNIT,
+        condition_name().alias("condition"),
+        answer_of("doc_id").alias("final_answer"),
+        _dialogue("doc_id").alias("body"),
+    )
+
+
+def _dialogue(key: str) -> Column:
+    """A document's text as a transcript about the answer of ``key``."""
     k = F.col("doc_id") % 5
-    tail = _tail("doc_id")
+    tail = _tail(key)
 
     def line(text: Column, i: Column) -> Column:
         tutor = F.concat(
@@ -206,14 +219,41 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
         other = F.concat(text, F.when((i == 1) & (k == 1), " so 1").otherwise(""))
         return F.when(i % 4 == 0, tutor).when(i % 4 == 2, learner).otherwise(other)
 
-    body = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
-    return documents(spark, sf).select(
-        "doc_id",
-        UNIT,
+    return F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+
+
+def unit_stimuli(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as stimuli of units: text, and its transcript about the unit's answer."""
+    numbered = documents(spark, sf).withColumn("unit", F.floor(F.col("doc_id") / UNIT_DOCUMENTS))
+    return numbered.select(
+        F.col("doc_id").alias("stimulus_id"),
+        _unit_id(F.col("unit")).alias("unit_id"),
         condition_name().alias("condition"),
-        answer_of("doc_id").alias("final_answer"),
-        body.alias("body"),
+        "text",
+        _dialogue("unit").alias("body"),
+    )
+
+
+def _unit_id(number: Column) -> Column:
+    return F.concat(F.lit("unit_"), number.cast("string"))
+
+
+def dialogue_units(spark: SparkSession, sf: str) -> DataFrame:
+    """One unit per part, whose canonical answer is whole; every seventh states a wrong one."""
+    number = F.col("p_partkey") - 1
+    goal = (number % 1000 + 1000).cast("double")
+    cost = F.col("p_size").cast("double")
+    quantity = cost + 10.0
+    params = F.create_map(
+        F.lit("fixed_costs"), (goal - cost) * quantity, F.lit("quantity"), quantity, F.lit("variable_cost"), cost
+    )
+    problem = F.struct(
+        F.lit("price_for_break_even_quantity").alias("validator"),
+        params.alias("params"),
+        (goal + _slip()).alias("answer"),
     )
+    parts = spread(table(spark, sf, "part"))
+    return parts.select(_unit_id(number).alias("unit_id"), problem.alias("canonical_problem"))
 
 
 def conversation_turns(spark: SparkSession, sf: str) -> DataFrame:

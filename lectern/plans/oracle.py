@@ -557,3 +557,66 @@ SELECT doc_id, answers_ok, caliper_ok, no_leak, policy_ok, readability_flagged,
 FROM answers LEFT JOIN measured USING (doc_id) LEFT JOIN talked USING (doc_id)
 """
 )
+
+_UNIT_ANSWER = """(SELECT 1000 + (p_partkey - 1) % 1000 + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END
+  FROM part WHERE p_partkey = doc_id // 8 + 1)::VARCHAR"""
+# The same transcripts about their unit's answer: eight documents in a row are one unit.
+_UNIT_TALKS = _TRANSCRIPTS.replace(f"'1' || {_TAIL_DOC} AS final_answer", f"{_UNIT_ANSWER} AS final_answer").replace(
+    _TAIL_DOC, "lpad((doc_id // 8 % 1000)::VARCHAR, 3, '0')"
+)
+ORACLE["dialogue_answers"] = (
+    _UNIT_TALKS
+    + f"""SELECT doc_id AS stimulus_id, 'unit_' || (doc_id // 8) AS unit_id, p.condition, {_UNIT_ANSWER} AS final_answer,
+  p.leaked, policy_ok,
+  CASE WHEN first IS NULL THEN 'no_attempt' WHEN {_UNIT_ANSWER} IS NULL THEN 'null_answer' END AS error
+FROM policies p JOIN leaks l USING (doc_id) WHERE p.condition <> 'traditional'"""
+)
+ORACLE["unit_acceptance"] = (
+    _UNIT_TALKS
+    + ","
+    + _features().strip().removeprefix("WITH")
+    + f""", cells AS (
+  SELECT doc_id // 8 AS u, lang = 'en' AS anchor, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS c,
+         avg(duration_seconds) AS d, avg(fk_grade) AS g
+  FROM f GROUP BY ALL),
+matched AS (
+  SELECT c.u, bool_and(c.anchor OR coalesce(abs(c.d - a.d) / nullif(a.d, 0) <= 0.1, false)) AS caliper_ok,
+         max(c.g) - min(c.g) > 1.0 AS readability_flagged
+  FROM cells c LEFT JOIN cells a ON a.u = c.u AND a.anchor GROUP BY c.u),
+talked AS (
+  SELECT doc_id // 8 AS u, NOT bool_or(condition = 'ai_scaffolding' AND coalesce(leaked, false)) AS no_leak,
+         bool_and(coalesce(policy_ok, true)) AS policy_ok
+  FROM policies WHERE condition <> 'traditional' GROUP BY 1),
+stated AS (
+  SELECT p_partkey - 1 AS u, 1000.0 + (p_partkey - 1) % 1000 AS goal, p_size::DOUBLE AS v, p_size + 10.0 AS q,
+         CASE WHEN p_partkey % 7 = 0 THEN 1.0 ELSE 0.0 END AS slip FROM part),
+answers AS (
+  SELECT u, {_CLOSE.format(a="(goal + slip)::DOUBLE", b="((goal - v) * q / q + v)::DOUBLE")} AS answers_ok FROM stated)
+SELECT 'unit_' || u AS unit_id, answers_ok, caliper_ok, readability_flagged, no_leak, policy_ok,
+  answers_ok AND coalesce(caliper_ok, false) AND coalesce(no_leak, false) AND coalesce(policy_ok, false) AS accepted
+FROM answers LEFT JOIN matched USING (u) LEFT JOIN talked USING (u)"""
+)
+# The inverse by Gauss-Jordan elimination, one step per position, over lists of rows.
+ORACLE["vector_mahalanobis"] = """
+WITH RECURSIVE x AS (
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY a.i, b.i),
+beside AS (
+  SELECT i, list(c ORDER BY j) || list(CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j) AS r
+  FROM c GROUP BY i),
+steps(k, m) AS (
+  SELECT 0::BIGINT, list(r ORDER BY i) FROM beside
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE
+    WHEN i = k + 1 THEN list_transform(r, lambda z: z / r[k + 1])
+    ELSE list_transform(list_zip(r, m[k + 1]), lambda p: p[1] - p[2] * r[k + 1] / m[k + 1][k + 1]) END)
+  FROM steps WHERE k < len(m)),
+inverse AS (SELECT list_transform(m, lambda r: r[len(m) + 1:]) AS v FROM steps WHERE k = len(m)),
+goal AS (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(x) AS a FROM x WHERE label = 0 GROUP BY i)),
+apart AS (
+  SELECT vec_id, label, list_transform(list_zip(embedding, mu), lambda p: p[1]::DOUBLE - p[2]) AS d
+  FROM embeddings, goal WHERE label <> 0)
+SELECT vec_id, label, NULL::VARCHAR AS error,
+  round(sqrt(list_sum(list_transform(v, lambda r, i: d[i] * list_inner_product(r, d)))), 6) AS distance
+FROM apart, inverse
+"""

@@ -27,7 +27,9 @@ from lectern.sources.units import read_units
 _UNIT, _CONDITION = "unit_id", "condition"
 
 
-def dialogue_checks(stimuli: DataFrame, units: DataFrame, anchor: str = TRADITIONAL) -> DataFrame:
+def dialogue_checks(
+    stimuli: DataFrame, units: DataFrame, anchor: str = TRADITIONAL, mode: str = QUARANTINE
+) -> DataFrame:
     """Leakage, tutor labels and reveal policy of every non-anchor stimulus.
 
     Turns are read before the join with the canonical answers, so the join moves
@@ -41,7 +43,7 @@ def dialogue_checks(stimuli: DataFrame, units: DataFrame, anchor: str = TRADITIO
     )
     read = with_attempt(talks, "body", keep_turns=True)
     read = read.withColumn("labels", tutor_labels(F.col("turns"))).drop("turns")
-    checked = with_leakage(read.join(answers, _UNIT, "left"), "final_answer")
+    checked = with_leakage(read.join(answers, _UNIT, "left"), "final_answer", mode)
     policy = follows_policy(F.col(_CONDITION), F.col("labels"), F.col("leaked"))
     return checked.withColumns(
         {
@@ -78,9 +80,9 @@ def report_tables(
     deltas = M.anchor_deltas(cells, FEATURES, _UNIT, _CONDITION, anchor, mode)
     anchors = M.anchors_of(featured, ["duration_seconds"], _UNIT, _CONDITION, anchor)
     caliper = _calipers(featured, anchors, anchor, mode)
-    smd = M.standardized_mean_differences(cells, FEATURES, _CONDITION, anchor)
+    smd = M.standardized_mean_differences(cells, FEATURES, _CONDITION, anchor, mode=mode)
     spread = M.readability_spread(cells, _UNIT, _CONDITION)
-    dialogue = dialogue_checks(stimuli, units, anchor)
+    dialogue = dialogue_checks(stimuli, units, anchor, mode)
     return {
         "validator_results": audit,
         "features": featured.select("stimulus_id", _UNIT, _CONDITION, *FEATURES, "error"),

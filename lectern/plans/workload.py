@@ -22,8 +22,9 @@ from lectern.operators import validators as V
 from lectern.operators import vectors
 from lectern.operators.audit import REFERENCE_THRESHOLD, audit_units, correctness_gate
 from lectern.plans import inputs as I
+from lectern.plans import report as R
 from lectern.plans.report import acceptance, dialogue_gates
-from lectern.session import few_splits, lookup_side, scratch_path
+from lectern.session import few_splits, lookup_side, save_once, scratch_path
 from lectern.sources.front_matter import coerce, with_front_matter, with_known_keys
 from lectern.sources.sinks import skip_existing
 from lectern.sources.stimuli import fk_violations, key_violations, stimuli_index
@@ -114,8 +115,9 @@ def anchor_deltas(spark, sf):
 
 @query("duration_caliper")
 def duration_caliper(spark, sf):
-    texts = I.documents(spark, sf)
-    timed = texts.select("doc_id", UNIT, CONDITION, X.duration_seconds(F.col("text")).alias("duration_seconds"))
+    """Texts are measured once; anchors and others are two views of the written numbers."""
+    seconds = X.duration_seconds(F.col("text")).alias("duration_seconds")
+    timed = save_once(I.documents(spark, sf).select("doc_id", UNIT, CONDITION, seconds), "timed")
     anchors = lookup_side(
         M.anchors_of(timed, ["duration_seconds"], UNIT, CONDITION, ANCHOR), "anchors"
     )
@@ -424,7 +426,8 @@ def acceptance_summary(spark, sf):
     parts = V.check_answers(I.part_problems(spark, sf)).select(
         F.col("p_partkey").alias("doc_id"), F.coalesce("passed", F.lit(False)).alias("answers_ok")
     )
-    texts = I.featured(spark, sf).select("doc_id", UNIT, CONDITION, "duration_seconds", "fk_grade")
+    numbers = I.featured(spark, sf).select("doc_id", UNIT, CONDITION, "duration_seconds", "fk_grade")
+    texts = save_once(numbers, "measured")
     anchors = lookup_side(
         M.anchors_of(texts, ["duration_seconds", "fk_grade"], UNIT, CONDITION, ANCHOR), "anchors"
     )
@@ -444,6 +447,28 @@ def acceptance_summary(spark, sf):
     return acceptance("doc_id", parts, measured, gates)
 
 
+@query("dialogue_answers")
+def dialogue_answers(spark, sf):
+    """Every dialogue against its unit's canonical answer."""
+    checked = R.dialogue_checks(I.unit_stimuli(spark, sf), I.dialogue_units(spark, sf))
+    return checked.select(
+        "stimulus_id", "unit_id", "condition", "final_answer", "leaked", "policy_ok", "error"
+    )
+
+
+@query("unit_acceptance")
+def unit_acceptance(spark, sf):
+    """One acceptance row per unit: answers, caliper, readability spread and dialogues."""
+    units, stimuli = I.dialogue_units(spark, sf), I.unit_stimuli(spark, sf)
+    checked = V.check_answers(units.select("unit_id", "canonical_problem.*"))
+    audit = checked.select("unit_id", F.coalesce("passed", F.lit(False)).alias("ok"))
+    texts = stimuli.select("unit_id", "condition", "text")
+    featured = X.with_text_features(texts, "text", F.lit(1))
+    cells = M.condition_cells(featured, ["duration_seconds", "fk_grade"], "unit_id", "condition")
+    cells = save_once(cells, "cells")
+    return R.unit_acceptance(audit, cells, R.dialogue_checks(stimuli, units))
+
+
 # ---------------------------------------------------------------- matrices and series
 
 

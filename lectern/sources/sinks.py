@@ -36,13 +36,17 @@ def skip_existing(
 
     The keys are compared first, without the payload, and the missing ones written
     to the shared folder. If their measured list fits, it is broadcast and the payload
-    is filtered where it lies; otherwise one anti join shuffles the payload.
+    is filtered where it lies. If it does not, as on a first large load, the list of
+    written keys is broadcast in its place. Only where neither fits does one anti join
+    shuffle the payload.
     """
     keys = [key] if isinstance(key, str) else list(key)
     done = written.select(*keys)
     missing = save_once(new.select(*keys).distinct().join(done, keys, "left_anti"), "missing-keys")
     if not fits_broadcast(missing, broadcast_keys):
-        return new.join(done, keys, "left_anti")
+        known = save_once(done.distinct(), "written-keys")
+        few = fits_broadcast(known, broadcast_keys)
+        return new.join(F.broadcast(known) if few else known, keys, "left_anti")
     wanted = missing.select(*[F.col(k).alias(f"_{k}") for k in keys])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     return new.join(F.broadcast(wanted), same, "left_semi")
@@ -72,8 +76,9 @@ def save_missing(df: DataFrame, path: str, key: str, overwrite: bool = False) ->
     if old is not None and overwrite:
         # Read three times below, so computed once.
         rows = save_once(rows, "replacement")
-        touched = F.broadcast(rows.select("bucket").distinct())  # at most one row per bucket
-        kept = old.join(touched, "bucket", "left_semi").join(
+        # At most one row per bucket; as constants they prune the target's partitions.
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
+        kept = old.filter(F.col("bucket").isin(touched)).join(
             rows.select(key).distinct(), key, "left_anti"
         )
         rows = rows.unionByName(kept.select(*rows.columns))

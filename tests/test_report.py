@@ -1,5 +1,7 @@
 """The acceptance slice end to end, over files of our own."""
 
+import re
+
 import pytest
 
 from lectern.plans.report import measure, report_tables, run_slice
@@ -7,6 +9,12 @@ from lectern.sources.front_matter import load_stimuli
 from lectern.sources.units import read_units
 from tests.test_validators import UNIT
 
+
+def padded(text: str, words: int) -> str:
+    """The text with words at its end, up to a number of words."""
+    return text + " more" * (words - len(re.findall("[A-Za-z0-9']+", text)))
+
+
 PROSE = "Fixed costs of 120,000 are paid once. Each unit leaves thirty. So one divides them, and gets 4,000 units here."
 SCAFFOLD = (
     "TUTOR: Fixed costs are 120,000. How many units?\n\nLEARNER: I get 1,500 units.\n\nTUTOR: Hint: subtract first.\n\n"
@@ -36,9 +44,9 @@ def tables(spark, tmp_path_factory):
     stimuli = folder / "stimuli"
     stimuli.mkdir()
     for unit in ("u1", "u2"):
-        write(stimuli, unit, "traditional", PROSE + " More prose follows here." * (3 if unit == "u1" else 9))
-        write(stimuli, unit, "ai_scaffolding", SCAFFOLD)
-        write(stimuli, unit, "ai_substitution", SUBSTITUTE)
+        write(stimuli, unit, "traditional", padded(PROSE, 62 if unit == "u1" else 90))
+        write(stimuli, unit, "ai_scaffolding", padded(SCAFFOLD, 60))
+        write(stimuli, unit, "ai_substitution", padded(SUBSTITUTE, 60))
     units = read_units(spark, f"{folder}/units/*.json")
     loaded = load_stimuli(spark, f"{stimuli}/*/*.txt")
     return loaded, units, report_tables(units, loaded), folder
@@ -68,7 +76,7 @@ def test_acceptance(tables):
     assert rows["u1"]["answers_ok"] and not rows["u2"]["answers_ok"]
     assert rows["u1"]["no_leak"] and rows["u1"]["policy_ok"]
     assert not rows["u2"]["caliper_ok"] and not rows["u2"]["accepted"]
-    assert rows["u1"]["accepted"] == rows["u1"]["caliper_ok"]
+    assert rows["u1"]["caliper_ok"] and rows["u1"]["accepted"]
 
 
 def test_features_may_come_from_a_written_table(spark, tables, tmp_path):
