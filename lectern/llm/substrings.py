@@ -103,7 +103,10 @@ def _inverse_powers(at: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(window: int):
-    """Per document its distinct anchors, with the least and greatest stretch content."""
+    """Per document its distinct anchors, with the least and greatest stretch content.
+
+    The greatest is null where it is the least, which keeps the written table small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -118,14 +121,15 @@ def _anchor_rows(window: int):
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
                 first = np.flatnonzero(new)
-                last = np.append(first[1:], len(doc)) - 1
+                last = (np.append(first[1:], len(doc)) - 1)[: len(first)]
+                low, high = content[first], content[last]
                 rows = np.array(group.rows, np.int64)[doc[first]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[rows].astype(np.int64)),
                         pa.array(anchor[first]),
-                        pa.array(content[first]),
-                        pa.array(content[last[: len(first)]]),
+                        pa.array(low),
+                        pa.array(high, mask=low == high),
                     ],
                     names=["doc_id", "anchor", "low", "high"],
                 )
@@ -249,12 +253,13 @@ def remove_repeats(
     ids = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
-    anchors = ids.mapInArrow(_anchor_rows(window), _ANCHORS)
+    # Read twice, for the index and to look it up, so that texts are hashed once.
+    anchors = save_stage(ids.mapInArrow(_anchor_rows(window), _ANCHORS), "anchors")
     index = anchors.groupBy("anchor").agg(
         F.min("doc_id").alias("first"),
         F.count("*").alias("n"),
         F.min("low").alias("low"),
-        F.max("high").alias("high"),
+        F.max(F.coalesce("high", "low")).alias("high"),
     )
     index = index.filter("n > 1").select("anchor", "first", (F.col("low") != F.col("high")).alias("mixed"))
     hits = anchors.select("doc_id", "anchor").join(index, "anchor").filter("mixed OR doc_id > first")
@@ -262,7 +267,7 @@ def remove_repeats(
         F.collect_list(F.when(~F.col("mixed"), F.col("anchor"))).alias("copied"),
         F.collect_list(F.when(F.col("mixed"), F.col("anchor"))).alias("unlike"),
     )
-    lists = save_stage(lists, "anchors")
+    lists = save_stage(lists, "lists")
 
     asked = lists.filter(F.size("unlike") > 0).select("doc_id", "unlike")
     found = ids.join(asked, "doc_id").mapInArrow(_window_rows(window), "doc_id long, h1 long, h2 long")
