@@ -164,11 +164,14 @@ def _window_rows(window: int):
                     asked[own] = _among(found.anchor[own], unlike[row])
                 start, doc = found.start[asked], found.doc[asked]
                 first, second = _window_hashes(group, other, window)
-                keys = np.stack([doc.astype(np.uint64), first[start], second[start]], axis=1)
-                keys = np.unique(keys, axis=0) if len(keys) else keys
-                rows = np.array(group.rows, np.int64)[keys[:, 0].astype(np.int64)]
-                columns = [pa.array(ids[rows].astype(np.int64))]
-                columns += [_signed(np.ascontiguousarray(keys[:, c])) for c in (1, 2)]
+                first, second = first[start], second[start]
+                # A window that a document repeats counts once.
+                order = np.lexsort((second, first, doc))
+                doc, first, second = doc[order], first[order], second[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+                rows = np.array(group.rows, np.int64)[doc[new]]
+                columns = [pa.array(ids[rows].astype(np.int64)), _signed(first[new]), _signed(second[new])]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2"])
 
     return run
