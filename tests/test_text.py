@@ -139,3 +139,21 @@ def test_very_long_words_stay_linear(one, text):
     want = brute(text)
     assert (words, syllables, equations) == (want["words"], want["syllables"], want["equation_count"])
     assert plain <= len(text) and not math.isnan(plain)
+
+
+# Published counts of the three texts, with their grade and seconds.
+@pytest.mark.parametrize(
+    "words, sentences, syllables, grade, seconds",
+    [
+        (448, 51, 675, 5.614900210, 122.181818),
+        (430, 54, 556, 2.773229974, 117.272727),
+        (434, 54, 599, 3.830619560, 118.363636),
+    ],
+)
+def test_published_grades_and_durations(one, words, sentences, syllables, grade, seconds):
+    row = {"w": words, "s": sentences, "y": syllables}
+    found = one(
+        row, "w int, s int, y int",
+        X.grade_from_counts(F.col("w"), F.col("s"), F.col("y")), X.reading_seconds(F.col("w")),
+    )
+    assert found == pytest.approx((grade, seconds), abs=1e-6)
