@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import as_bytes, free_name, save_stage
 from lectern.llm.components import components
+from lectern.llm.resemblance import similar_documents
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -222,11 +223,13 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each class of near duplicates the rows with the smallest id, as they came.
+    """Of each class of similar documents the rows with the smallest id, as they came.
 
-    Rows that repeat the kept id all stay, and so do rows without an id.
+    Classes are those of ``resemblance``: five-word shingles with an exact Jaccard
+    similarity of 0.8 or more; fingerprints are not used here. Rows that repeat the
+    kept id all stay, and so do rows without an id.
     """
-    classes = near_duplicates(docs, id_col, text_col)
+    classes = similar_documents(docs, id_col, text_col)
     name = free_name(docs, "_gone")
     gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
