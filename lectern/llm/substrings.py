@@ -1,6 +1,7 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of all documents.
+"""Repeated passages by winnowed anchors and hashes of windows, over all documents.
 
-The reference is the whole corpus, indexed by anchors. An anchor is the run of five
+This stands in place of relative Lempel-Ziv parsing: no factor has a reference position.
+The whole corpus is indexed by anchors. An anchor is the run of five
 words with the least hash among those of a window of thirteen; equal windows have equal
 anchors in equal places, and only about a fifth of all runs are anchors. The index is
 dealt to blocks by anchor, and every document is looked up in every block that has one
@@ -13,9 +14,8 @@ What stands around an anchor (its stretch: all windows that share it) decides:
 * Stretches differ, as at the borders of factors: the windows of the stretch are looked
   up one by one, with a 128-bit hash.
 
-Then each document is parsed: from left to right, windows with an earlier occurrence are
-joined to the longest factors. A factor is at least a window long, and a window across
-the border of two factors has been looked up like any other.
+Then, from left to right, windows with an earlier occurrence that overlap or touch are
+joined to spans, called factors; their windows may come from several documents.
 """
 
 from __future__ import annotations
