@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm import (
     decontaminate,
     packing,
+    periods,
     quality,
     sharding,
     simhash,
@@ -70,6 +72,22 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that the query looks at: about a tenth of the documents end in a loop."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    loop = words[a : a + period]
+    return (words[:a] + loop * ((n - a) // period + 1))[:n]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(documents(spark, sf_dir), looped)
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -81,4 +99,5 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
+    "op12_periodic_runs": op12_periodic_runs,
 }
