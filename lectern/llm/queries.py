@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (
+    alignment,
     decontaminate,
     packing,
     periods,
@@ -72,6 +73,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(documents(spark, sf_dir))
+
+
 def looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words that the query looks at: about a tenth of the documents end in a loop."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -99,5 +104,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
 }
