@@ -292,6 +292,7 @@ def align_documents(
     if text_col in names:
         raise ValueError(f"{text_col} is the name of an output column")
     kept = docs.drop(*names)
+    columns = [*kept.columns, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = token_pair(byte_bpe, piece_bpe)
@@ -315,7 +316,7 @@ def align_documents(
                         _lists(x.n_groups, pa.array(x.last_b - base_b[doc])),
                         _lists(np.bincount(text, minlength=j - i), linked),
                     ],
-                    names=[*kept.columns, *names],
+                    names=columns,
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
