@@ -17,6 +17,7 @@ from lectern.llm import (
     sharding,
     simhash,
     substrings,
+    suffixes,
     token_counts,
     token_files,
     topk,
@@ -93,6 +94,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(documents(spark, sf_dir), looped)
 
 
+def op13_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_byte_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality": op2_quality,
@@ -106,4 +111,5 @@ QUERIES: dict[str, Query] = {
     "op10_top_k": op10_top_k,
     "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_repeated_bytes": op13_repeated_bytes,
 }
