@@ -1,8 +1,10 @@
 """Covariance and Mahalanobis distance of wide vector columns.
 
 A vector of 64 numbers has 2,080 covariances: too many aggregate expressions, but one
-small matrix per task. Each task multiplies its own rows with numpy and hands on one
-matrix; Spark adds the matrices up, and the sum never leaves the executors. A task
+small matrix per task. Each task centres and multiplies its own rows with numpy and hands
+on count, means and co-moments; Spark merges them cell by cell, and the result never
+leaves the executors. Sums of raw products are never formed: they would lose all digits
+of vectors that lie far from zero. A task
 holds a matrix of width x width: reduce vectors of many thousand positions first, as
 with :func:`lectern.operators.accumulation.parcel_means`.
 """
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,86 +34,120 @@ def vector_error(vector: str, width: int) -> Column:
     )
 
 
-def _gram_sums(df: DataFrame, vector: str, width: int, anchor: Column | None = None) -> DataFrame:
-    """Summed products ``i, j, g, a`` of the vectors that take part; ``a`` over anchors.
+def _moments(df: DataFrame, vector: str, width: int, anchor: Column | None = None) -> DataFrame:
+    """Mergeable centred moments of the vectors that take part, one set of cells per task.
 
-    The last index stands for the constant 1, so its products are sums and counts.
-    Products of anchors are kept for that index only.
+    A cell ``task, i, j, n, mi, mj, c`` holds the number of vectors, two means and the sum
+    of products of the deviations from them. Where ``j`` is the width, the cell holds the
+    number and mean of the anchors. Batches are centred before they are multiplied and
+    merged by the difference of their means, so large common offsets cancel nothing.
     """
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, marked = np.zeros((width + 1, width + 1)), np.zeros(width + 1)
-        seen = 0
+        n, mean, products = 0, np.zeros(width), np.zeros((width, width))
+        known, marked = 0, np.zeros(width)
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
-            x = np.hstack([flat.reshape(-1, width), np.ones((batch.num_rows, 1))])
-            total += x.T @ x
-            marked += x[batch.column(1).to_numpy(zero_copy_only=False).astype(bool)].sum(axis=0)
-            seen += batch.num_rows
-        if seen:
-            i, j = np.triu_indices(width + 1)
-            a = np.where(j == width, marked[i], 0.0)
+            x = flat.reshape(-1, width)
+            if not len(x):
+                continue
+            own = x.mean(axis=0)
+            centred = x - own
+            # What rounding left in the batch's mean.
+            own += centred.mean(axis=0)
+            centred = x - own
+            apart, total = own - mean, n + len(x)
+            products += centred.T @ centred + np.outer(apart, apart) * (n * len(x) / total)
+            mean = mean + apart * (len(x) / total)
+            n = total
+            chosen = x[batch.column(1).to_numpy(zero_copy_only=False).astype(bool)]
+            if len(chosen):
+                known += len(chosen)
+                marked += (chosen - marked).sum(axis=0) / known
+        if n:
+            i, j = np.triu_indices(width)
+            edge = np.arange(width)
+            task = TaskContext.get().partitionId()
+            cells = [
+                np.concatenate([i, edge]).astype("int32"),
+                np.concatenate([j, np.full(width, width)]).astype("int32"),
+                np.concatenate([np.full(len(i), n), np.full(width, known)]).astype("int64"),
+                np.concatenate([mean[i], marked]),
+                np.concatenate([mean[j], np.zeros(width)]),
+                np.concatenate([products[i, j], np.zeros(width)]),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(total[i, j]), pa.array(a)],
-                names=["i", "j", "g", "a"],
+                [pa.array(np.full(len(cells[0]), task, "int32")), *map(pa.array, cells)],
+                names=["task", "i", "j", "n", "mi", "mj", "c"],
             )
 
     flag = F.lit(False) if anchor is None else anchor
     whole = df.filter(vector_error(vector, width).isNull()).select(vector, flag.alias("anchor"))
-    sums = whole.mapInArrow(multiply, "i int, j int, g double, a double")
-    return sums.groupBy("i", "j").agg(F.sum("g").alias("g"), F.sum("a").alias("a"))
+    parts = whole.mapInArrow(multiply, "task int, i int, j int, n long, mi double, mj double, c double")
+    # A cell has one part per task, whatever the number of vectors; they merge in order.
+    listed = F.array_sort(F.collect_list(F.struct("task", "n", "mi", "mj", "c")))
+    return parts.groupBy("i", "j").agg(listed.alias("parts")).select("i", "j", _merged("parts").alias("m")).select("i", "j", "m.*")
 
 
-def _gathered(sums: DataFrame) -> DataFrame:
-    """All sums as one row, in the order of their indices."""
-    cells = F.array_sort(F.collect_list(F.struct("i", "j", "g", "a")))
-    return sums.agg(cells.alias("cells"))
+def _merged(parts: str) -> Column:
+    nothing = F.struct(
+        F.lit(0).cast("long").alias("n"),
+        *[F.lit(0.0).alias(c) for c in ("mi", "mj", "c")],
+    )
+
+    def merge(a: Column, b: Column) -> Column:
+        total = a.n + b.n
+        share = F.when(total > 0, b.n / total).otherwise(0.0)
+        return F.struct(
+            total.alias("n"),
+            (a.mi + (b.mi - a.mi) * share).alias("mi"),
+            (a.mj + (b.mj - a.mj) * share).alias("mj"),
+            (a.c + b.c + (b.mi - a.mi) * (b.mj - a.mj) * a.n * share).alias("c"),
+        )
+
+    return F.aggregate(parts, nothing, merge)
 
 
 def vector_covariance(df: DataFrame, vector: str, width: int) -> DataFrame:
     """Sample covariance of every pair of vector positions: ``i, j, covariance, n``.
 
-    Vectors with a :func:`vector_error` are left out of all sums. One pass: the edge of
-    the summed matrix holds the row count and the sums that centre the products.
+    Vectors with a :func:`vector_error` are left out. One pass over the table.
     """
-    row = _gathered(_gram_sums(df, vector, width))
-    edge = F.transform(F.filter("cells", lambda c: c.j == width), lambda c: c.g)
-    cells = row.select(edge.alias("e"), F.explode("cells").alias("c")).filter(F.col("c.j") < width)
-    n = F.get("e", F.lit(width))
-    centred = F.col("c.g") - F.get("e", F.col("c.i")) * F.get("e", F.col("c.j")) / n
+    cells = _moments(df, vector, width).filter(F.col("j") < width)
     return cells.select(
-        F.col("c.i").cast("long").alias("i"),
-        F.col("c.j").cast("long").alias("j"),
-        F.when(n > 1, centred / (n - 1)).alias("covariance"),
-        n.cast("long").alias("n"),
+        F.col("i").cast("long").alias("i"),
+        F.col("j").cast("long").alias("j"),
+        F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1)).alias("covariance"),
+        "n",
     )
 
 
 def _whitening(width: int, min_units: int):
-    """UDF for the one row of sums: rows of a square root of the inverse, the anchors' mean."""
+    """UDF for the one row of moments: rows of a square root of the inverse, the anchors' mean."""
 
     @F.pandas_udf("root array<array<double>>, mean array<double>, error string")
-    def solve(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         i, j = np.triu_indices(width + 1)
-        for products, marked in batches:
+        keep = (i < width) | (j < width)
+        i, j = i[keep], j[keep]
+        for counts, means, products in batches:
             out = []
-            for g, a in zip(products, marked, strict=True):
-                if len(g) == 0:
+            for n, m, c in zip(counts, means, products, strict=True):
+                if len(n) == 0:
                     out.append((None, None, "min_units"))
                     continue
-                gram, anchors = np.zeros((width + 1, width + 1)), np.zeros((width + 1, width + 1))
-                gram[i, j], anchors[i, j] = g, a
-                n, known = int(gram[-1, -1]), anchors[-1, -1]
-                mean = gram[:-1, -1] / n
-                upper = (gram[:-1, :-1] - n * np.triu(np.outer(mean, mean))) / max(n - 1, 1)
-                inverse, error = invert_covariance(upper + np.triu(upper, 1).T, n, min_units)
+                edge = j == width
+                total, known = int(n[~edge][0]), int(n[edge][0])
+                upper = np.zeros((width, width))
+                upper[i[~edge], j[~edge]] = c[~edge] / max(total - 1, 1)
+                inverse, error = invert_covariance(upper + np.triu(upper, 1).T, total, min_units)
                 if error is None and known == 0:
                     error = "no_anchor"
                 if error:
                     out.append((None, None, error))
                 else:
                     root = np.linalg.cholesky((inverse + inverse.T) / 2).T
-                    out.append((root.tolist(), (anchors[:-1, -1] / known).tolist(), None))
+                    out.append((root.tolist(), m[edge].tolist(), None))
             yield pd.DataFrame(out, columns=["root", "mean", "error"])
 
     return solve
@@ -126,10 +163,14 @@ def mahalanobis_to_mean(
     query and comes back as a scalar subquery, so nothing passes through the driver.
     """
     flagged = df.withColumn("anchor", F.coalesce(is_anchor, F.lit(False)))
-    row = _gathered(_gram_sums(flagged, vector, width, F.col("anchor")))
-    products = F.transform("cells", lambda c: c.g).alias("g")
-    marked = F.transform("cells", lambda c: c.a).alias("a")
-    solved = row.select(products, marked).select(_whitening(width, min_units)("g", "a").alias("m"))
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", "n", "mi", "c")))
+    row = _moments(flagged, vector, width, F.col("anchor")).agg(cells.alias("cells"))
+    parts = row.select(
+        F.transform("cells", lambda x: x.n).alias("n"),
+        F.transform("cells", lambda x: x.mi).alias("mi"),
+        F.transform("cells", lambda x: x.c).alias("c"),
+    )
+    solved = parts.select(_whitening(width, min_units)("n", "mi", "c").alias("m"))
     model = solved.select("m").scalar()
     staged = flagged.filter(~F.col("anchor")).drop("anchor").withColumn("m", model)
     error = F.coalesce(F.col("m.error"), vector_error(vector, width))

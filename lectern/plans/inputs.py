@@ -120,6 +120,29 @@ def part_problems(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Answers to the contribution margin formula, as authors write it.
+AUTHORED_FORMULAS = (
+    "P - V", "-(V - P)", "(P*P - V*V) / (P + V)", "P + V", "P - 2*V + V/1.0", "P - (V", "P - W", "x - y",
+)
+
+
+def part_authored_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """One answer per part as text: a ratio for even keys, a formula for odd ones."""
+    price, cost = F.col("p_retailprice"), F.col("p_size").cast("double") * 20.0
+    numeric = F.col("p_partkey") % 2 == 0
+    variant = F.floor(F.col("p_partkey") / 2) % len(AUTHORED_FORMULAS)
+    own_symbols = F.create_map(F.lit("price"), F.lit("x"), F.lit("variable_cost"), F.lit("y"))
+    usual = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    numbers = F.create_map(F.lit("price"), price.cast("string"), F.lit("variable_cost"), cost.cast("string"))
+    written = F.element_at(F.array(*[F.lit(x) for x in AUTHORED_FORMULAS]), (variant + 1).cast("int"))
+    return spread(table(spark, sf, "part")).select(
+        "p_partkey",
+        F.when(numeric, "contribution_margin_ratio").otherwise("contribution_margin_expr").alias("validator"),
+        F.when(numeric, numbers).when(variant == 7, own_symbols).otherwise(usual).alias("params"),
+        F.when(numeric, ((price - cost) / price + _slip()).cast("string")).otherwise(written).alias("answer"),
+    )
+
+
 def part_unit_json(spark: SparkSession, sf: str) -> DataFrame:
     """One unit per part, as the JSON text of a unit file."""
 

@@ -430,6 +430,16 @@ FROM f LEFT JOIN a USING (source) WHERE lang <> 'en'
     + f"""SELECT p_partkey, validator, answer, expected,
        CASE WHEN error IS NULL THEN {_CLOSE.format(a='answer', b='expected')} END AS passed, error
 FROM checked""",
+    # Which formula equals price minus cost is stated, not computed.
+    "authored_answers": """
+WITH p AS (SELECT p_partkey, p_partkey % 2 = 0 AS numeric, (p_partkey // 2) % 8 AS variant,
+    p_retailprice <= p_size * 20 AS loss, p_partkey % 7 = 0 AS slip FROM part)
+SELECT p_partkey, CASE WHEN numeric THEN 'contribution_margin_ratio' ELSE 'contribution_margin_expr' END AS validator,
+  CASE WHEN numeric AND loss OR NOT numeric AND variant = 5 THEN NULL
+       WHEN numeric THEN NOT slip ELSE variant IN (0, 1, 2, 4, 7) END AS passed,
+  CASE WHEN numeric AND loss THEN 'non_positive_margin'
+       WHEN NOT numeric AND variant = 5 THEN 'bad_formula' END AS error
+FROM p""",
     "unit_answer_audit": _UNIT_ROWS
     + "SELECT unit_id, problem, validator, answer, expected, passed, error, ok FROM audited",
     "correctness_gate": _UNIT_ROWS
@@ -519,6 +529,17 @@ WITH r AS (SELECT user_id, value * length(event_type) AS g,
 SELECT user_id, count(*) AS n_events,
   round(1.0 * pow(0.9::DOUBLE, count(*)) + sum(0.5::DOUBLE * g * pow(0.9::DOUBLE, later)), 6) AS state
 FROM r GROUP BY user_id
+""",
+    "decayed_trajectories": """
+WITH RECURSIVE z AS (SELECT label, avg(embedding[1]::DOUBLE) AS factor FROM embeddings GROUP BY label),
+g AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step,
+    coalesce(0.5::DOUBLE * (value * factor), 0) AS x
+  FROM events LEFT JOIN z ON user_id % 10 = label),
+t AS (SELECT user_id, ts, event_id, step, 0.9::DOUBLE * 1.0 + x AS state FROM g WHERE step = 1
+  UNION ALL
+  SELECT g.user_id, g.ts, g.event_id, g.step, 0.9::DOUBLE * t.state + g.x
+  FROM t JOIN g ON g.user_id = t.user_id AND g.step = t.step + 1)
+SELECT user_id, ts, event_id, step, round(state, 6) + 0.0 AS state FROM t
 """,
     "scenario_contrasts": """
 WITH e AS (SELECT event_type, value, json_extract_string(props, '$.k')::DOUBLE AS k FROM events),

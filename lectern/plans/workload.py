@@ -220,6 +220,13 @@ def answer_check(spark, sf):
     return out.select("p_partkey", "validator", "answer", "expected", "passed", "error")
 
 
+@query("authored_answers")
+def authored_answers(spark, sf):
+    """Numbers and formulas as text, in one table; every outcome occurs."""
+    out = V.check_authored_answers(I.part_authored_answers(spark, sf))
+    return out.select("p_partkey", "validator", "passed", "error")
+
+
 def _part_units(spark: SparkSession, sf: str) -> DataFrame:
     return parse_units(I.part_unit_json(spark, sf), "json")
 
@@ -478,7 +485,7 @@ def parcel_means(spark, sf):
     width = matrix.agg(F.max(F.size("values")).alias("n"))
     vertices = width.select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("vertex"))
     atlas = vertices.withColumn("parcel", F.col("vertex").cast("long") % 8)
-    out = A.parcel_means(matrix, atlas, ["vec_id"])
+    out = A.parcel_means(matrix, atlas, ["vec_id"]).drop("error")
     return out.withColumn("mean_value", F.round("mean_value", 6))
 
 
@@ -508,6 +515,17 @@ def decayed_totals(spark, sf):
     return out.withColumn("state", F.round("state", 6))
 
 
+@query("decayed_trajectories")
+def decayed_trajectories(spark, sf):
+    """State of every user after every event; the gain's factor is looked up per user group."""
+    first = F.get("embedding", F.lit(0)).cast("double")
+    factors = I.table(spark, sf, "embeddings").groupBy("label").agg(F.avg(first).alias("factor"))
+    events = I.table(spark, sf, "events").withColumn("label", (F.col("user_id") % 10).cast("int"))
+    gains = A.with_lookup_gain(events, factors, "label", "value", "factor")
+    out = A.decayed_trajectory(gains, "user_id", ["ts", "event_id"], "gain", delta=0.1, eta=0.5, start=1.0)
+    return out.withColumn("state", F.round("state", 6) + 0.0)
+
+
 @query("scenario_contrasts")
 def scenario_contrasts(spark, sf):
     events = I.table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))

@@ -169,6 +169,26 @@ def test_vector_covariance(wide):
         assert r["covariance"] == pytest.approx(want[r["i"], r["j"]], rel=1e-8, abs=1e-9) and r["n"] == 60
 
 
+@pytest.mark.parametrize(("offset", "tol"), [(0.0, 1e-9), (1e8, 1e-6), (-1e12, 1e-2)])
+@pytest.mark.parametrize("tasks", [1, 9])
+def test_covariance_of_vectors_far_from_zero(spark, offset, tol, tasks):
+    """Means of some 1e8 and variances of 1: raw sums of products would keep no digit.
+
+    The tolerance follows the spacing of doubles around the offset, 1e-4 for the last.
+    """
+    x = np.random.default_rng(1).normal(size=(40, 3)) + offset
+    rows = [(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, v array<double>, label int").repartition(tasks)
+    centred = x - x.mean(axis=0)
+    want = centred.T @ centred / 39
+    for r in VEC.vector_covariance(df, "v", 3).collect():
+        assert r["covariance"] == pytest.approx(want[r["i"], r["j"]], rel=tol, abs=tol)
+    inverse, goal = np.linalg.inv(want), x[::2].mean(axis=0)
+    for r in VEC.mahalanobis_to_mean(df, "v", F.col("label") == 0, 3).collect():
+        d = x[r["i"]] - goal
+        assert r["distance"] == pytest.approx(float(np.sqrt(d @ inverse @ d)), rel=max(1e-7, 2 * tol))
+
+
 def test_vectors_of_another_width_take_no_part(spark, wide):
     """Neither a long row nor a row with a gap changes a sum, in whatever task they are."""
     x, df = wide

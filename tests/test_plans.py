@@ -9,7 +9,9 @@ from lectern.plans.workload import QUERIES
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
-PYTHON = ("mahalanobis_to_anchor", "vector_covariance", "vector_mahalanobis")
+PYTHON = (
+    "mahalanobis_to_anchor", "vector_covariance", "vector_mahalanobis", "parcel_means", "decayed_trajectories",
+)
 
 
 def physical(df) -> str:

@@ -14,8 +14,9 @@ from lectern.functions import text as X
 
 def brute(text: str) -> dict:
     """All features, word by word and piece by piece."""
-    words = re.findall(r"[a-zA-Z0-9']+", text)
-    pieces = re.split(r"[\n.?!]+", text)
+    # What counts as a word and what ends a sentence.
+    words = re.findall(r"[A-Za-z0-9']+", text)
+    pieces = re.split(r"[.!?\n]+", text)
     syllables = 0
     for word in words:
         letters = "".join(c for c in word.lower() if c in string.ascii_lowercase)
