@@ -356,3 +356,14 @@ def raw_values(spark: SparkSession, sf: str) -> DataFrame:
     for i, variant in enumerate(variants[1:], 1):
         value = F.when(F.col("doc_id") % 10 == i, variant).otherwise(value)
     return table(spark, sf, "documents").select("doc_id", value.alias("value"))
+
+
+SEGMENT_CHARS = 200
+
+
+def document_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents cut into segments of 200 characters, wherever that falls."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    places = F.sequence(F.lit(0), F.ceil(F.length("text") / SEGMENT_CHARS).cast("int") - 1)
+    cut = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode_outer(places).alias("seq"))
+    return cut.select("doc_id", "seq", F.substring(F.col("text"), F.col("seq") * SEGMENT_CHARS + 1, F.lit(SEGMENT_CHARS)).alias("text"))

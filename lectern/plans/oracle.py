@@ -529,6 +529,20 @@ WITH r AS (SELECT user_id, value * length(event_type) AS g,
 SELECT user_id, count(*) AS n_events,
   round(1.0 * pow(0.9::DOUBLE, count(*)) + sum(0.5::DOUBLE * g * pow(0.9::DOUBLE, later)), 6) AS state
 FROM r GROUP BY user_id
+""",
+    "stream_distinct_texts": """
+SELECT md5(text) AS digest, min(doc_id) AS doc_id, any_value(length(text)) AS n_chars
+FROM documents WHERE text IS NOT NULL GROUP BY md5(text)
+UNION ALL
+SELECT NULL, doc_id, NULL FROM documents WHERE text IS NULL
+""",
+    "segment_onsets": """
+WITH s AS (SELECT doc_id, text, unnest(range((length(text) + 199) // 200)) AS seq FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, seq::INT AS seq,
+    len(regexp_extract_all(left(text, seq * 200), '[A-Za-z0-9'']+'))::BIGINT AS words_before,
+    len(regexp_extract_all(left(text, seq * 200 + 200), '[A-Za-z0-9'']+'))::BIGINT AS upto FROM s)
+SELECT doc_id, seq, words_before, upto - words_before AS n_words,
+  CASE WHEN upto > words_before THEN round(60.0::DOUBLE * words_before / 220, 6) END AS onset_s FROM w
 """,
     "decayed_trajectories": """
 WITH RECURSIVE z AS (SELECT label, avg(embedding[1]::DOUBLE) AS factor FROM embeddings GROUP BY label),

@@ -18,6 +18,7 @@ from lectern.functions.numeric import numeric_close
 from lectern.operators import accumulation as A
 from lectern.operators import dialogue as D
 from lectern.operators import matching as M
+from lectern.operators import segments
 from lectern.operators import validators as V
 from lectern.operators import vectors
 from lectern.operators.audit import REFERENCE_THRESHOLD, audit_units, correctness_gate
@@ -29,7 +30,7 @@ from lectern.sources.front_matter import coerce, with_front_matter, with_known_k
 from lectern.sources.sinks import skip_existing
 from lectern.sources.stimuli import fk_violations, key_violations, stimuli_index
 from lectern.sources.units import parse_units, units_index
-from lectern.streaming.ingest import run_available
+from lectern.streaming.ingest import run_available, run_missing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,6 +346,17 @@ def fk_violations_found(spark, sf):
     return fk_violations(used, I.table(spark, sf, "labels"), "doc_id")
 
 
+@query("segment_onsets")
+def segment_onsets(spark, sf):
+    """Words before and in every segment of every document, and when the first of them starts."""
+    placed = segments.with_word_offsets(I.document_segments(spark, sf), "doc_id", ["seq"])
+    onset = F.lit(60.0) * F.col("words_before").cast("double") / F.lit(X.WORDS_PER_MINUTE)
+    return placed.select(
+        "doc_id", "seq", "words_before", "n_words",
+        F.when(F.col("n_words") > 0, F.round(onset, 6)).alias("onset_s"),
+    )
+
+
 @query("incremental_anti_load")
 def incremental_anti_load(spark, sf):
     """Features of the documents that are not among the labelled ones."""
@@ -356,7 +368,8 @@ def incremental_anti_load(spark, sf):
 def stream_features(spark, sf):
     """The documents through the streaming job, read back from its sink."""
     batch = I.table(spark, sf, "documents")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/documents*.parquet")
+    # A pattern that only this name meets: a stream reads folders and patterns, no files.
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/[d]ocuments.parquet")
     texts = stream.select("doc_id", "text", UNIT, CONDITION)
     n = few_splits(batch)
     texts = texts.repartition(n) if n else texts
@@ -365,6 +378,19 @@ def stream_features(spark, sf):
     return _featured_output(spark.read.parquet(f"{out}/table"))
 
 
+@query("stream_distinct_texts")
+def stream_distinct_texts(spark, sf):
+    """The documents as an inbox: what comes again under another id adds nothing to the sink."""
+    batch = I.table(spark, sf, "documents")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{sf}/[d]ocuments.parquet")
+    texts = stream.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+    out = scratch_path(spark, "stream-distinct")
+    # The second run meets the same files with an empty checkpoint, as after a lost one.
+    for run in ("first", "again"):
+        run_missing(texts, f"{out}/table", f"{out}/checkpoint-{run}", "digest", ["doc_id"], run_id=run)
+    return spark.read.parquet(f"{out}/table").select("digest", "doc_id", "n_chars")
+
+
 # ---------------------------------------------------------------- dialogues
 
 

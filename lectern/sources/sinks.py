@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.errors import QUARANTINE, enforce
 from lectern.functions.text import FEATURES
 from lectern.session import fits_broadcast, save_once
 
 _BUCKETS = 64
+# Rows of a wide matrix that are stacked together.
+_STACK_ROWS = 200
 
 
 def write_features(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -52,9 +59,10 @@ def skip_existing(
     return new.join(F.broadcast(wanted), same, "left_semi")
 
 
-def _read_if_present(df: DataFrame, path: str) -> DataFrame | None:
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at the path, or None where nothing has been written."""
     try:
-        return df.sparkSession.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -71,7 +79,7 @@ def save_missing(df: DataFrame, path: str, key: str, overwrite: bool = False) ->
     writes a file into every bucket.
     """
     rows = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).cast("int"))
-    old = _read_if_present(df, path)
+    old = read_if_present(df.sparkSession, path)
     writer_mode = "append"
     if old is not None and overwrite:
         # Read three times below, so computed once.
@@ -94,7 +102,93 @@ def save_missing(df: DataFrame, path: str, key: str, overwrite: bool = False) ->
     )
 
 
-def matrix_rows(wide: DataFrame, stimulus_id: str, timestep: str, columns: Sequence[str]) -> DataFrame:
-    """A wide prediction matrix as ``(stimulus_id, timestep, values)`` rows."""
-    values = F.array(*[F.col(c).cast("float") for c in columns])
-    return wide.select(stimulus_id, timestep, values.alias("values"))
+def vertex_columns(columns: Sequence[str], prefix: str = "vertex_") -> list[str]:
+    """The columns named by the prefix and a number, in the order of their numbers."""
+    numbered = [(int(c.removeprefix(prefix)), c) for c in columns if re.fullmatch(re.escape(prefix) + "[0-9]+", c)]
+    return [c for _, c in sorted(numbered)]
+
+
+def matrix_rows(
+    wide: DataFrame, stimulus_id: str, timestep: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """A wide prediction matrix as ``(stimulus_id, timestep, values)`` rows.
+
+    Without ``columns`` the vertex columns are taken in the order of the numbers in their
+    names, wherever they stand. Arrow batches are stacked to one list column, so a
+    thousand columns are no thousand expressions. A missing value is null. Files of many
+    thousand columns are read by :func:`read_matrices`, without a plan of that width.
+    """
+    chosen = list(columns) if columns is not None else vertex_columns(wide.columns)
+    if not chosen:
+        raise ValueError("the table has no vertex columns")
+
+    def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Some rows at a time: a batch of ten thousand would be held twice.
+            for at in range(0, batch.num_rows, _STACK_ROWS):
+                part = batch.slice(at, _STACK_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), _stacked(part.columns[2:])],
+                    names=[stimulus_id, timestep, "values"],
+                )
+
+    kinds = {f.name: f.dataType.simpleString() for f in wide.schema.fields}
+    schema = f"`{stimulus_id}` {kinds[stimulus_id]}, `{timestep}` {kinds[timestep]}, values array<float>"
+    return wide.select(stimulus_id, timestep, *chosen).mapInArrow(stack, schema)
+
+
+def _stacked(columns: Sequence[pa.Array]) -> pa.Array:
+    """Number columns of one length side by side, as one list per row."""
+    vertices = [c.cast(pa.float32()) for c in columns]
+    block = np.column_stack([v.to_numpy(zero_copy_only=False) for v in vertices]).astype(np.float32)
+    gaps = np.column_stack([v.is_null().to_numpy(zero_copy_only=False) for v in vertices])
+    values = pa.array(block.ravel(), pa.float32(), mask=gaps.ravel() if gaps.any() else None)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * len(vertices)), values)
+
+
+def read_matrices(spark: SparkSession, path: str | list[str], mode: str = QUARANTINE) -> DataFrame:
+    """Prediction files, one per stimulus with a column per vertex, as one row per timestep.
+
+    Returns ``path, timestep, values, error``: ``timestep`` numbers a file's rows from 0 and
+    ``values`` holds the vertex columns in the order of the numbers in their names; other
+    columns are left out. Spark deals the files out and reads them; a task decodes one
+    file after another, so no plan has a column per vertex. A file that is no Parquet
+    (``bad_parquet``) or has no vertex column of numbers (``no_vertices``) is one row.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for first, part in _matrix_parts(content.as_buffer()):
+                    n = 1 if isinstance(part, str) else part.num_rows
+                    failed = isinstance(part, str)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([name] * n),
+                            pa.nulls(1, pa.int64()) if failed else pa.array(np.arange(first, first + n)),
+                            pa.nulls(1, pa.list_(pa.float32())) if failed else _stacked(part.columns),
+                            pa.array([part if failed else None] * n, pa.string()),
+                        ],
+                        names=["path", "timestep", "values", "error"],
+                    )
+
+    # Few files to a batch: each is a matrix.
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    schema = "path string, timestep long, values array<float>, error string"
+    return enforce(files.mapInArrow(decode, schema), mode)
+
+
+def _matrix_parts(content: pa.Buffer) -> Iterator[tuple[int, pa.RecordBatch | str]]:
+    """Some rows after the other of a Parquet file's vertex columns, or the code of what is wrong."""
+    try:
+        file = pq.ParquetFile(pa.BufferReader(content))
+        columns = vertex_columns(file.schema_arrow.names)
+        if not columns:
+            yield 0, "no_vertices"
+            return
+        first = 0
+        for part in file.iter_batches(_STACK_ROWS, columns=columns):
+            yield first, part.select(columns)
+            first += part.num_rows
+    except pa.ArrowInvalid:
+        yield 0, "bad_parquet"

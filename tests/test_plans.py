@@ -11,6 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 PYTHON = (
     "mahalanobis_to_anchor", "vector_covariance", "vector_mahalanobis", "parcel_means", "decayed_trajectories",
+    "segment_onsets",
 )
 
 

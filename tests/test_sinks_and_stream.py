@@ -2,6 +2,9 @@
 
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from lectern import session
 from lectern.sources import sinks
 from lectern.sources.front_matter import load_stimuli
 from lectern.sources.stimuli import fk_violations, key_violations, stimuli_index
-from lectern.streaming.ingest import measured_stimuli, run_available, stream_texts
+from lectern.streaming import ingest
+from lectern.streaming.ingest import measured_stimuli, run_available, run_missing, stream_texts
 
 
 def stimulus(unit: str, condition: str, text: str, variant: str = "primary") -> str:
@@ -117,6 +121,92 @@ def test_stream_takes_each_file_once(spark, inbox, tmp_path):
     assert spark.read.parquet(out).filter("stimulus_id IS NULL").first()["error"] == "missing_opening"
 
 
+def test_a_stimulus_that_comes_again_adds_nothing(spark, inbox, tmp_path):
+    out = str(tmp_path / "out")
+
+    def run(checkpoint="cp", run_id="0"):
+        texts = measured_stimuli(stream_texts(spark, str(inbox), max_files=2))
+        run_missing(texts, out, str(tmp_path / checkpoint), "stimulus_id", ["path"], run_id)
+        rows = spark.read.parquet(out).collect()
+        return sorted((r["stimulus_id"], r["words"]) for r in rows if r["stimulus_id"]), len(rows)
+
+    first = [("u1_ai_scaffolding", 2), ("u1_traditional", 5)]
+    assert run() == (first, 2)
+    assert run() == (first, 2)
+    # Another file name, another text, the same key; twice, and once with a new key.
+    (inbox / "again.txt").write_text(stimulus("u1", "traditional", "Not the first."))
+    (inbox / "more.txt").write_text(stimulus("u1", "traditional", "Nor this."))
+    (inbox / "new1.txt").write_text(stimulus("u2", "traditional", "Only one here."))
+    (inbox / "new2.txt").write_text(stimulus("u2", "traditional", "Later."))
+    (inbox / "bad.txt").write_text("no front matter")
+    got, n = run()
+    assert got[:2] == first and got[2][0] == "u2_traditional" and (len(got), n) == (3, 4)
+    # All files again, with a checkpoint that was lost.
+    again, n = run("other", "1")
+    assert again == got and n == 5
+
+
+def test_a_killed_batch_is_replayed_whole(spark, inbox, tmp_path, monkeypatch):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    real = ingest.skip_existing
+    (tmp_path / "in" / "a.txt").rename(tmp_path / "in" / "c.txt")
+
+    def run():
+        texts = measured_stimuli(stream_texts(spark, str(inbox), max_files=1))
+        return run_missing(texts, out, checkpoint, "stimulus_id", ["path"])
+
+    def dies(*args):
+        # The batch has written rows when it is killed, and its number is not committed.
+        args[0].write.mode("append").parquet(f"{out}/batch=0-000000001")
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(ingest, "skip_existing", dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    assert spark.read.parquet(out).count() == 2
+    monkeypatch.setattr(ingest, "skip_existing", real)
+    run()
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r["stimulus_id"] for r in rows) == ["u1_ai_scaffolding", "u1_traditional"]
+
+
+def test_first_of_key(spark):
+    df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), (None, 2, "z"), (None, 1, "w"), ("b", 1, None)], "k string, i int, v string")
+    assert sorted(tuple(r) for r in ingest.first_of_key(df, "k", ["i"]).filter("k IS NOT NULL").collect()) == [("a", 1, "y"), ("b", 1, None)]
+    assert ingest.first_of_key(df, "k", ["i"]).count() == 4
+
+
+def test_wide_matrices_are_stacked_in_the_order_of_their_names(spark):
+    wide = spark.createDataFrame(
+        [("s", 0, 10.0, 2.0, 1.5, None), ("s", 1, 11.0, None, 2.5, "x")],
+        "stimulus_id string, timestep int, vertex_10 double, vertex_2 float, vertex_00001 double, vertex_x string",
+    )
+    rows = sinks.matrix_rows(wide, "stimulus_id", "timestep").collect()
+    assert [r["values"] for r in rows] == [[1.5, 2.0, 10.0], [2.5, None, 11.0]]
+    assert sinks.matrix_rows(wide.limit(0), "stimulus_id", "timestep").count() == 0
+    with pytest.raises(ValueError, match="no vertex columns"):
+        sinks.matrix_rows(wide.select("stimulus_id", "timestep"), "stimulus_id", "timestep")
+
+
+def test_twenty_thousand_columns(spark, tmp_path):
+    n = 20_000
+    x = np.random.default_rng(1).normal(size=(5, n)).astype(np.float32)
+    order = np.random.default_rng(2).permutation(n)
+    for name, rows in (("a", x[:3]), ("b", x[3:])):
+        columns = {"second": list(range(len(rows)))} | {f"vertex_{i:05d}": rows[:, i] for i in order}
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+    (tmp_path / "c.parquet").write_bytes(b"no parquet")
+    pq.write_table(pa.table({"second": [1, 2]}), tmp_path / "d.parquet")
+    rows = sinks.read_matrices(spark, str(tmp_path / "*.parquet")).collect()
+    got = {(r["path"][-9], r["timestep"]): r for r in rows}
+    assert len(got) == len(rows) == 7
+    for i, key in enumerate([("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]):
+        assert got[key]["values"] == x[i].tolist() and got[key]["error"] is None
+    assert (got["c", None]["error"], got["d", None]["error"]) == ("bad_parquet", "no_vertices")
+    with pytest.raises(Exception, match="bad_parquet"):
+        sinks.read_matrices(spark, str(tmp_path / "c.parquet"), mode="strict").collect()
+
+
 def test_batch_equals_stream_columns(spark, inbox):
     assert measured_stimuli(load_texts(spark, inbox)).schema == measured_stimuli(stream_texts(spark, str(inbox))).schema
     assert load_stimuli(spark, f"{inbox}/*.txt").count() == 2
