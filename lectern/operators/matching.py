@@ -81,6 +81,60 @@ def anchor_deltas(
     return enforce(out.select(unit, condition, "r.feature", "r.delta", "error"), mode)
 
 
+def numeric_entries(features: Column) -> Column:
+    """A JSON object's numbers and booleans, as a map of doubles; a boolean counts as 0 or 1.
+
+    Text that looks like a number is no number; nulls, lists and objects have no entry.
+    """
+    kinds = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*|BOOLEAN)$"
+    values = F.from_json(features, "map<string,variant>")
+    numeric = F.map_filter(values, lambda _, v: F.schema_of_variant(v).rlike(kinds))
+    return F.transform_values(numeric, lambda _, v: F.try_variant_get(v, "$", "double"))
+
+
+def map_deltas(anchor: Column, other: Column) -> Column:
+    """Other minus anchor for every key that two maps of numbers share, as a map."""
+    both = F.map_zip_with(anchor, other, lambda _, a, b: b - a)
+    return F.map_filter(both, lambda _, d: d.isNotNull())
+
+
+def feature_map_deltas(
+    df: DataFrame, features: str, unit: str, condition: str, anchor: str, mode: str = QUARANTINE
+) -> DataFrame:
+    """Other minus anchor for the features that both hold: ``unit, condition, feature, delta, error``.
+
+    ``features`` is a JSON object per text, with keys that may differ from row to row.
+    Entries are averaged to one cell per (unit, condition, feature) before anything else
+    moves, so a unit with most of the texts is as small as any other. A condition that
+    shares no feature with its anchor has no rows; one whose unit has no anchor text has
+    one row with ``no_anchor``, and texts that are no JSON object count as without entries.
+    """
+    entries = df.select(unit, condition, F.explode_outer(numeric_entries(F.col(features))).alias("feature", "x"))
+    cells = entries.groupBy(unit, condition, "feature").agg(F.avg("x").alias("x"))
+    is_anchor = F.col(condition) == anchor
+    here = Window.partitionBy(unit)
+    shared = Window.partitionBy(unit, "feature")
+    wide = cells.withColumns(
+        {
+            "has_anchor": F.coalesce(F.max(is_anchor).over(here), F.lit(False)),
+            "base": F.max(F.when(is_anchor, F.col("x"))).over(shared),
+            "first": F.row_number().over(Window.partitionBy(unit, condition).orderBy("feature")) == 1,
+        }
+    ).filter(~F.coalesce(is_anchor, F.lit(False)))
+    delta = F.when(F.col("has_anchor"), F.col("x") - F.col("base"))
+    kept = wide.withColumn("delta", delta).filter(
+        F.col("delta").isNotNull() | (~F.col("has_anchor") & F.col("first"))
+    )
+    out = kept.select(
+        unit,
+        condition,
+        F.when(F.col("has_anchor"), F.col("feature")).alias("feature"),
+        "delta",
+        F.when(~F.col("has_anchor"), "no_anchor").alias("error"),
+    )
+    return enforce(out, mode)
+
+
 def anchors_of(
     df: DataFrame, features: Sequence[str], unit: str, condition: str, anchor: str
 ) -> DataFrame:

@@ -143,6 +143,36 @@ def part_authored_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def part_authored_units(spark: SparkSession, sf: str) -> DataFrame:
+    """One unit file per part, with answers that a double or a rewriting would change."""
+    key = F.col("p_partkey")
+    answer = (
+        F.when(key % 4 == 0, F.concat(key.cast("string"), F.lit(".0")))
+        .when(key % 4 == 1, F.concat(F.lit("12345678901234"), F.lpad((key % 100000).cast("string"), 5, "0")))
+        .when(key % 4 == 2, F.lit('"P - V"'))
+        .otherwise(key.cast("string"))
+    )
+    text = F.concat(
+        F.lit('{"unit_id": "part_'), key.cast("string"), F.lit('", "canonical_problem": {"answer": '), answer, F.lit("}}")
+    )
+    return spread(table(spark, sf, "part")).select(text.alias("json"))
+
+
+def document_feature_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON object of features per document; which keys it has depends on the document."""
+    odd = F.col("doc_id") % 2 == 1
+    features = F.struct(
+        F.col("n_chars").alias("chars"),
+        F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") / 2.0).alias("half"),
+        F.when(odd, F.col("n_chars") > 1000).alias("long"),
+        F.when(F.col("lang") != "en", F.lit(1.5)).alias("foreign"),
+        F.col("lang").alias("lang"),
+        F.lit("12").alias("code"),
+    )
+    unit = F.concat_ws("/", F.col("source"), (F.col("doc_id") % 7).cast("string"))
+    return table(spark, sf, "documents").select(unit.alias("unit"), "lang", F.to_json(features).alias("features"))
+
+
 def part_unit_json(spark: SparkSession, sf: str) -> DataFrame:
     """One unit per part, as the JSON text of a unit file."""
 

@@ -535,6 +535,26 @@ SELECT md5(text) AS digest, min(doc_id) AS doc_id, any_value(length(text)) AS n_
 FROM documents WHERE text IS NOT NULL GROUP BY md5(text)
 UNION ALL
 SELECT NULL, doc_id, NULL FROM documents WHERE text IS NULL
+""",
+    "authored_unit_answers": """
+WITH a AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey || '.0'
+    WHEN 1 THEN '12345678901234' || lpad((p_partkey % 100000)::VARCHAR, 5, '0')
+    WHEN 2 THEN 'P - V' ELSE p_partkey::VARCHAR END AS answer_text FROM part)
+SELECT 'part_' || p_partkey AS unit_id, try_cast(answer_text AS DOUBLE) AS answer, answer_text FROM a
+""",
+    "feature_map_deltas": """
+WITH d AS (SELECT source || '/' || (doc_id % 7) AS unit, * FROM documents),
+v AS (SELECT unit, lang, 'chars' AS feature, n_chars::DOUBLE AS x FROM d
+  UNION ALL SELECT unit, lang, 'half', n_chars / 2.0::DOUBLE FROM d WHERE doc_id % 3 > 0
+  UNION ALL SELECT unit, lang, 'long', (n_chars > 1000)::INT::DOUBLE FROM d WHERE doc_id % 2 = 1
+  UNION ALL SELECT unit, lang, 'foreign', 1.5::DOUBLE FROM d WHERE lang <> 'en'),
+c AS (SELECT unit, lang, feature, avg(x) AS x FROM v GROUP BY ALL),
+a AS (SELECT * FROM c WHERE lang = 'en'),
+o AS (SELECT DISTINCT unit, lang FROM d WHERE lang <> 'en')
+SELECT c.unit, c.lang, c.feature, round(c.x - a.x, 6) + 0.0 AS delta, NULL::VARCHAR AS error
+FROM c JOIN a ON a.unit = c.unit AND a.feature = c.feature WHERE c.lang <> 'en'
+UNION ALL
+SELECT unit, lang, NULL, NULL, 'no_anchor' FROM o WHERE unit NOT IN (SELECT unit FROM d WHERE lang = 'en')
 """,
     "segment_onsets": """
 WITH s AS (SELECT doc_id, text, unnest(range((length(text) + 199) // 200)) AS seq FROM documents WHERE length(text) > 0),

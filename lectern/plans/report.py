@@ -33,11 +33,13 @@ def dialogue_checks(
     """Leakage, tutor labels and reveal policy of every non-anchor stimulus.
 
     Turns are read before the join with the canonical answers, so the join moves
-    the text before the first attempt and the labels, not the bodies.
+    the text before the first attempt and the labels, not the bodies. Answers that were
+    read with their text are searched as they were written.
     """
-    answers = units.select(
-        _UNIT, answer_text(F.col("canonical_problem.answer")).alias("final_answer")
-    )
+    problem = units.schema["canonical_problem"].dataType
+    written = F.col("canonical_problem.answer_text") if "answer_text" in problem.names else None
+    number = answer_text(F.col("canonical_problem.answer"))
+    answers = units.select(_UNIT, (number if written is None else written).alias("final_answer"))
     talks = stimuli.filter(F.col(_CONDITION) != anchor).select(
         "stimulus_id", _UNIT, _CONDITION, "body"
     )

@@ -228,6 +228,19 @@ def authored_answers(spark, sf):
     return out.select("p_partkey", "validator", "passed", "error")
 
 
+@query("authored_unit_answers")
+def authored_unit_answers(spark, sf):
+    """Answers of units as numbers and as their authors wrote them."""
+    units = parse_units(I.part_authored_units(spark, sf), "json", authored=True)
+    return units.select("unit_id", "canonical_problem.answer", "canonical_problem.answer_text")
+
+
+@query("feature_map_deltas")
+def feature_map_deltas(spark, sf):
+    out = M.feature_map_deltas(I.document_feature_maps(spark, sf), "features", "unit", "lang", "en")
+    return out.withColumn("delta", F.round("delta", 6) + 0.0)
+
+
 def _part_units(spark: SparkSession, sf: str) -> DataFrame:
     return parse_units(I.part_unit_json(spark, sf), "json")
 

@@ -11,41 +11,47 @@ from lectern.functions.errors import QUARANTINE, enforce
 _PARAMS = T.MapType(T.StringType(), T.DoubleType())
 
 
-def _problem(prompt: bool = True) -> T.StructType:
+def _problem(prompt: bool = True, answer: T.DataType = T.DoubleType()) -> T.StructType:
     head = [T.StructField("prompt", T.StringType())] if prompt else []
     return T.StructType(
         head
         + [
             T.StructField("validator", T.StringType()),
             T.StructField("params", _PARAMS),
-            T.StructField("answer", T.DoubleType()),
+            T.StructField("answer", answer),
         ]
     )
 
 
-UNIT_SCHEMA = T.StructType(
-    [
+def _unit_schema(answer: T.DataType) -> T.StructType:
+    # The fields of a unit file.
+    fields = [
         T.StructField("unit_id", T.StringType()),
         T.StructField("domain", T.StringType()),
         T.StructField("concept", T.StringType()),
         T.StructField("difficulty", T.IntegerType()),
         T.StructField("prerequisites", T.ArrayType(T.StringType())),
-        T.StructField("canonical_problem", _problem()),
+        T.StructField("canonical_problem", _problem(answer=answer)),
         T.StructField(
             "common_misconception",
             T.StructType(
                 [
                     T.StructField("description", T.StringType()),
-                    T.StructField("wrong_answer", T.DoubleType()),
+                    T.StructField("wrong_answer", answer),
                     T.StructField("wrong_method", T.StringType()),
                 ]
             ),
         ),
-        T.StructField("practice_problem", _problem(prompt=False)),
-        T.StructField("near_transfer", _problem()),
-        T.StructField("far_transfer", _problem()),
+        T.StructField("practice_problem", _problem(prompt=False, answer=answer)),
+        T.StructField("near_transfer", _problem(answer=answer)),
+        T.StructField("far_transfer", _problem(answer=answer)),
     ]
-)
+    return T.StructType(fields)
+
+
+UNIT_SCHEMA = _unit_schema(T.DoubleType())
+# The same with answers as the text that the author wrote.
+AUTHORED_SCHEMA = _unit_schema(T.StringType())
 
 # The problems whose stated answer must validate.
 PROBLEMS = ("canonical_problem", "practice_problem", "near_transfer", "far_transfer")
@@ -60,23 +66,46 @@ def read_units(
     path: str | list[str],
     one_per_file: bool = True,
     mode: str = QUARANTINE,
+    authored: bool = False,
 ) -> DataFrame:
     """Unit objects, one per file or (for large collections) one per line.
 
+    With ``authored`` every answer also keeps its text, see :func:`with_authored_answers`.
     Adds ``error``: an object that is not JSON is a row of NULLs, and one with a
     field of the wrong type has that field NULL, both with a code.
     """
-    schema = T.StructType([*UNIT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
+    fields = (AUTHORED_SCHEMA if authored else UNIT_SCHEMA).fields
+    schema = T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])
     read = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT)
     units = read.json(path, multiLine=one_per_file)
     bad = F.col(_CORRUPT).isNotNull()
     error = F.when(bad & F.col("unit_id").isNull(), "malformed_json").when(bad, "bad_field")
-    return enforce(units.withColumn("error", error).drop(_CORRUPT), mode)
+    units = units.withColumn("error", error).drop(_CORRUPT)
+    return enforce(with_authored_answers(units) if authored else units, mode)
 
 
-def parse_units(df: DataFrame, json_text: str) -> DataFrame:
+def parse_units(df: DataFrame, json_text: str, authored: bool = False) -> DataFrame:
     """Unit objects held as JSON text in a column."""
-    return df.select(F.from_json(json_text, UNIT_SCHEMA).alias("u")).select("u.*")
+    schema = AUTHORED_SCHEMA if authored else UNIT_SCHEMA
+    units = df.select(F.from_json(json_text, schema).alias("u")).select("u.*")
+    return with_authored_answers(units) if authored else units
+
+
+def with_authored_answers(units: DataFrame) -> DataFrame:
+    """Units read with answers as text: ``answer_text`` beside the number in ``answer``.
+
+    A whole number of any length and a point with a zero after it stay as they were
+    written. An answer that is no number, such as a formula, has a null number.
+    """
+    places = [(p, "answer") for p in PROBLEMS] + [("common_misconception", "wrong_answer")]
+    return units.withColumns(
+        {
+            p: F.col(p)
+            .withField(f"{field}_text", F.col(f"{p}.{field}"))
+            .withField(field, F.col(f"{p}.{field}").try_cast("double"))
+            for p, field in places
+        }
+    )
 
 
 def units_index(units: DataFrame) -> DataFrame:
