@@ -103,43 +103,49 @@ class _Side:
         self.lengths = np.array([len(s) for s in tokens.spelled], np.int64)
         self._opens = np.array([s[:1] == b" " for s in tokens.spelled])
         self._cache_units = cache_units
-        self._known: dict[str, bytes | None] = {}
-        self._old: dict[str, bytes | None] = {}
-
-    def _checked(self, unit: str, ids: np.ndarray) -> bytes | None:
-        """The ids, or None where they do not spell the space and the unit."""
-        spelled = b"".join(map(self.tokens.spelled.__getitem__, ids.tolist()))
-        return ids.tobytes() if spelled == b" " + unit.encode() else None
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode the units that are new together: each begins where a token opens with a space."""
+        # False stands for a unit that its ids do not spell.
+        self._known: dict[str, bytes | bool] = {}
+        self._old: dict[str, bytes | bool] = {}
+
+    def _spelled(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.spelled.__getitem__, ids.tolist()))
+
+    def _learn_together(self, units: list[str]) -> None:
+        """Encode units without blanks in a row: each begins where a token opens with a space."""
+        joined = " ".join(units)
+        ids = np.array(self.tokens.ids(joined), np.uint32)
+        starts = np.flatnonzero(self._opens[ids])
+        # If the row is spelled as a whole and cut where its units begin, so is each unit.
+        if len(starts) == len(units) and self._spelled(ids) == b" " + joined.encode():
+            raw = ids.tobytes()
+            cuts = [*(starts * ids.itemsize).tolist(), len(raw)]
+            self._known.update((u, raw[i:j]) for u, i, j in zip(units, cuts, cuts[1:], strict=False))
+
+    def _learn(self, units: list[str], regular: bool) -> None:
         new = [u for u in dict.fromkeys(units) if u not in self._known]
         if len(self._known) + len(new) > self._cache_units:
             self._old, self._known = self._known, {}
             new = list(dict.fromkeys(units))
-        again = [u for u in new if u in self._old]
+        again = self._old.keys() & new
         self._known.update((u, self._old[u]) for u in again)
-        left = [u for u in new if u not in self._known]
-        clean = [u for u in left if u and _SPACE not in u and " " not in u and not _IRREGULAR.search(u)]
+        left = [u for u in new if u not in again] if again else new
+        # The units of a regular text have neither blanks nor white space at their ends.
+        clean = left if regular else [u for u in left if u and " " not in u and not _IRREGULAR.search(u)]
+        clean = [u for u in clean if _SPACE not in u]
         if clean:
-            ids = np.array(self.tokens.ids(" ".join(clean)), np.uint32)
-            starts = np.flatnonzero(self._opens[ids])
-            if len(starts) == len(clean):
-                parts = np.split(ids, starts[1:])
-                self._known.update((u, self._checked(u, p)) for u, p in zip(clean, parts, strict=True))
+            self._learn_together(clean)
         for u in left:
             if u not in self._known:
-                self._known[u] = self._checked(u, np.array(self.tokens.ids(u), np.uint32))
+                ids = np.array(self.tokens.ids(u), np.uint32)
+                self._known[u] = self._spelled(ids) == b" " + u.encode() and ids.tobytes()
 
-    def encode(self, units: list[str]) -> bytes | None:
+    def encode(self, units: list[str], regular: bool) -> bytes | None:
         """Ids of all units in a row; None if any of them does not spell itself."""
-        try:
-            return b"".join(map(self._known.__getitem__, units))
-        except (KeyError, TypeError):
-            if not all(u in self._known for u in units):
-                self._learn(units)
-        found = [self._known[u] for u in units]
-        return None if None in found else b"".join(found)
+        found = list(map(self._known.get, units))
+        if None in found:
+            self._learn(units, regular)
+            found = list(map(self._known.__getitem__, units))
+        return None if False in found else b"".join(found)
 
 
 class TokenPair:
@@ -153,9 +159,10 @@ class TokenPair:
         """Ids of A and of B; none of either where one does not spell a space and the text."""
         if not text:
             return b"", b""
-        units = text.split(" ") if not _IRREGULAR.search(text) else _BREAKS.split(text)
-        a = self.a.encode(units)
-        b = None if a is None else self.b.encode(units)
+        regular = not _IRREGULAR.search(text)
+        units = text.split(" ") if regular else _BREAKS.split(text)
+        a = self.a.encode(units, regular)
+        b = None if a is None else self.b.encode(units, regular)
         return (b"", b"") if b is None else (a, b)
 
 
