@@ -196,3 +196,25 @@ def test_malformed_unit_file_is_quarantined(spark, units, tmp_path):
     lines = tmp_path / "lines.json"
     lines.write_text(UNIT.replace("\n", " ") + "\n" + UNIT.replace("\n", " ").replace('"u1"', '"u2"') + "\n")
     assert read_units(spark, str(lines), one_per_file=False).filter("error IS NULL").count() == 2
+
+
+def test_validators_that_leave_the_jvm_are_flagged(spark):
+    @F.pandas_udf("double")
+    def halved(x: pd.Series) -> pd.Series:
+        return x / 2
+
+    @F.udf("boolean")
+    def odd(x):
+        return x % 2 == 1
+
+    V.register("half", ("x",))(lambda x: F.abs(halved(x)) + 1)
+    V.register("guarded_half", ("x",), [("odd", lambda p: odd(p["x"]))])(lambda x: x / 2)
+    V.register("whole", ("x",))(lambda x: x)
+    try:
+        rows = {r["validator"]: r for r in V.describe_validators(spark).collect()}
+    finally:
+        for name in ("half", "guarded_half", "whole"):
+            V.unregister(name)
+    assert {n for n, r in rows.items() if r["leaves_jvm"]} == {"half", "guarded_half"}
+    assert rows["guarded_half"]["guards"] == ["odd"] and rows["break_even_revenue"]["params"] == ["fixed_costs", "price", "variable_cost"]
+    assert rows["contribution_margin_expr"]["kind"] == "symbolic"
