@@ -12,9 +12,9 @@ lines that end a record: any store works, and its commit protocol survives lost
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -157,34 +157,79 @@ def write_warc(
     writer.option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _inflate(data: bytes) -> tuple[bytes, bool]:
+    """The content of a gzip file, member by member, and whether it breaks off or is damaged."""
+    parts = []
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(parts), True
+        if not member.eof:
+            return b"".join(parts), True
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(parts), False
+
+
+def _number(text: str | None, bits: int) -> int | None:
+    """A whole number that fits; anything else is a ValueError, an absent one is None."""
+    if text is None or text == "":
+        return None
+    value = int(text)
+    if not -(1 << bits - 1) <= value < 1 << bits - 1:
+        raise ValueError(text)
+    return value
+
+
+def _nothing(error: str) -> tuple:
+    return (None,) * 8 + (error,)
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive, found by their stated lengths."""
+    """Records of one archive, found by their stated lengths.
+
+    A record without a length ends the archive as ``bad_record``; one whose numbers are
+    none is a ``bad_record`` and reading goes on behind it. A file that breaks off gives
+    what can be read of it and a ``truncated`` record.
+    """
+    broken = False
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data, broken = _inflate(data)
     at = 0
     while at < len(data):
         gap = data.find(b"\r\n\r\n", at)
         lines = data[at:gap].decode("utf-8", "replace").split("\r\n") if gap >= 0 else [""]
         named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = named.get("content-length", "")
-        if not lines[0].startswith("WARC/") or not size.isdigit():
-            yield (None, None, None, None, None, None, None, None, "bad_record")
+        if not lines[0].startswith("WARC/") or not (size.isascii() and size.isdigit()):
+            yield _nothing("truncated" if broken else "bad_record")
             return
         block = data[gap + 4 : gap + 4 + int(size)]
-        own, page = named.get("warc-record-id"), named.get("page-id")
-        total = named.get("warc-segment-total-length")
+        at = gap + 4 + int(size) + 4
+        try:
+            segment = _number(named.get("warc-segment-number"), 32)
+            total = _number(named.get("warc-segment-total-length"), 64)
+            page = _number(named.get("page-id"), 64)
+        except ValueError:
+            yield _nothing("bad_record")
+            continue
+        own = named.get("warc-record-id")
+        whole = len(block) == int(size)
+        broken &= whole
         yield (
             own,
             named.get("warc-segment-origin-id", own),
-            int(named["warc-segment-number"]) if "warc-segment-number" in named else None,
-            int(total) if total else None,
+            segment,
+            total,
             named.get("warc-type"),
-            int(page) if page else None,
+            page,
             named.get("warc-payload-digest", "").removeprefix("sha1:") or None,
             block,
-            None if len(block) == int(size) else "truncated",
+            None if whole else "truncated",
         )
-        at = gap + 4 + int(size) + 4
+    if broken:
+        yield _nothing("truncated")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
