@@ -21,6 +21,9 @@ BYTE_BPE = "byte_bpe_50k.json"
 # Words in a generation of a task's cache. A full generation becomes the old one, from
 # which words that come again are taken over; the one before it goes.
 CACHE_WORDS = 200_000
+# Texts encoded together: until they have so many characters, and so many at most.
+GROUP_CHARS = 40_000
+GROUP_TEXTS = 256
 _SPACE_RUN = re.compile(r"\s\s")
 # How the vocabulary file writes a space.
 _SPACE = "\u0120"
@@ -59,15 +62,19 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return self._ids(text).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(one.ids, self._dtype).tobytes() for one in found]
+
+    def _learn(self, words: set[str]) -> None:
         """Encode unknown words together: where each begins shows in the ids."""
-        new = [w for w in dict.fromkeys(words) if w not in self._known]
+        new = words.difference(self._known)
         if len(self._known) + len(new) > self._cache_words:
             self._old, self._known = self._known, dict(self._always)
-            new = [w for w in dict.fromkeys(words) if w not in self._known]
+            new = words.difference(self._known)
         again = self._old.keys() & new
         self._known.update((w, self._old[w]) for w in again)
-        new = [w for w in new if w not in again]
+        new -= again
         spaced = [w for w in new if w[0] != "\n"]
         broken = [w for w in new if w[0] == "\n"]
         if spaced:
@@ -80,23 +87,25 @@ class WordEncoder:
     def _keep(self, words: list[str], ids: np.ndarray, opens: np.ndarray, before: str) -> None:
         starts = np.flatnonzero(opens)
         if len(starts) != len(words):
-            self._known.update((w, self._whole(before + w)) for w in words)
+            self._known.update(zip(words, self._batch([before + w for w in words]), strict=True))
             return
         raw, width = ids.tobytes(), self._dtype.itemsize
         cuts = [*(starts * width).tolist(), len(raw)]
-        self._known.update((w, raw[i:j]) for w, i, j in zip(words, cuts, cuts[1:], strict=False))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _SPACE_RUN.search(text) or text[0] in " \n":
-            return self._whole(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        parts = list(map(self._known.get, words))
-        if None in parts:
-            self._learn(words)
-            parts = list(map(self._known.get, words))
-        return self._whole(first) + b"".join(parts)
+        self._known.update(zip(words, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; words that are new to the cache are learnt together."""
+        plain = [not _SPACE_RUN.search(t) and t[:1] not in ("", " ", "\n") for t in texts]
+        words = [t.replace("\n", " \n").split(" ") for t, p in zip(texts, plain, strict=True) if p]
+        # A text's first word has no space before it; texts that are not cut are encoded whole.
+        firsts = [own.pop(0) for own in words]
+        whole = [t for t, p in zip(texts, plain, strict=True) if not p]
+        opening = self._batch(firsts)
+        self._learn(set().union(*words))
+        known = self._known.__getitem__
+        cut = (first + b"".join(map(known, own)) for first, own in zip(opening, words, strict=True))
+        rest = iter(self._batch(whole))
+        return [next(cut if p else rest) for p in plain]
 
 
 def encoder(path: str, width: int = 4) -> WordEncoder:
@@ -110,5 +119,13 @@ def encoder(path: str, width: int = 4) -> WordEncoder:
 def encode_all(texts: Iterable[str | None], path: str | None, width: int = 4) -> Iterator[bytes]:
     """Ids of each text as bytes; a null text has none."""
     words = encoder(path or tokenizer_file(BYTE_BPE), width)
+    group: list[str] = []
+    held = 0
     for text in texts:
-        yield words.encode(text) if text else b""
+        group.append(text or "")
+        held += len(group[-1])
+        if held >= GROUP_CHARS or len(group) >= GROUP_TEXTS:
+            yield from words.encode(group)
+            group, held = [], 0
+    if group:
+        yield from words.encode(group)

@@ -195,7 +195,7 @@ def test_word_cache_gives_the_library_ids(library, rows, small_rows):
     own = tokens.WordEncoder(tokenizer_file(tokens.BYTE_BPE), cache_words=50)
     odd = ["a\nb", "\na", "a\n\nb", " a", "a ", "a\tb", "it's\nit's 12\n34", "a<|endoftext|>b", "x y", "a\r\nb", "a  b", "Ġa b"]
     for text in [t for _, t in [*rows, *small_rows[:80]] if t] + odd:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == library(text)
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library(text)
 
 
 @pytest.mark.parametrize("which", ["odd", "small"])
