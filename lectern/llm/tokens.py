@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ CACHE_WORDS = 200_000
 # Texts encoded together: until they have so many characters, and so many at most.
 GROUP_CHARS = 40_000
 GROUP_TEXTS = 256
+_MARKS = string.punctuation
 _SPACE_RUN = re.compile(r"\s\s")
 # How the vocabulary file writes a space.
 _SPACE = "\u0120"
@@ -54,6 +56,7 @@ class WordEncoder:
         # A word with the space or the line break before it; "" is a space alone.
         self._always = {"": self._whole(" "), "\n": self._whole("\n")}
         self._known, self._old = dict(self._always), {}
+        self._tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -75,6 +78,17 @@ class WordEncoder:
         again = self._old.keys() & new
         self._known.update((w, self._old[w]) for w in again)
         new -= again
+        # Letters and the marks after them are encoded apart; marked words share their letters.
+        marked = [(w, h) for w in new if (h := w.rstrip(_MARKS)) != w and h[-1:].isalpha()]
+        if marked:
+            new.difference_update(w for w, _ in marked)
+            self._learn({h for _, h in marked})
+            tails = {w[len(h) :] for w, h in marked}.difference(self._tails)
+            if len(self._tails) + len(tails) > self._cache_words:
+                self._tails.clear()
+                tails = {w[len(h) :] for w, h in marked}
+            self._tails.update(zip(tails, self._batch(list(tails)), strict=True))
+            self._known.update((w, self._known[h] + self._tails[w[len(h) :]]) for w, h in marked)
         spaced = [w for w in new if w[0] != "\n"]
         broken = [w for w in new if w[0] == "\n"]
         if spaced:
@@ -83,6 +97,8 @@ class WordEncoder:
         if broken:
             ids = self._ids("".join(broken))
             self._keep(broken, ids, ids == self._newline, "")
+        # Learning the letters may have begun a generation.
+        self._known.update((w, self._old[w]) for w in words.difference(self._known))
 
     def _keep(self, words: list[str], ids: np.ndarray, opens: np.ndarray, before: str) -> None:
         starts = np.flatnonzero(opens)

@@ -194,8 +194,12 @@ def _crc(ids):
 def test_word_cache_gives_the_library_ids(library, rows, small_rows):
     own = tokens.WordEncoder(tokenizer_file(tokens.BYTE_BPE), cache_words=50)
     odd = ["a\nb", "\na", "a\n\nb", " a", "a ", "a\tb", "it's\nit's 12\n34", "a<|endoftext|>b", "x y", "a\r\nb", "a  b", "Ġa b"]
-    for text in [t for _, t in [*rows, *small_rows[:80]] if t] + odd:
+    odd += ["a... b' c'' d's. e'll! f1. g²! ", "x é. é! é", "Ġ. Ġ! \n.\n!a\nb.", ". ! a. a! a"]
+    texts = [t for _, t in [*rows, *small_rows[:80]] if t] + odd
+    for text in texts:
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library(text)
+    for found, text in zip(own.encode(texts), texts, strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == library(text)
 
 
 @pytest.mark.parametrize("which", ["odd", "small"])
