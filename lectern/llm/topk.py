@@ -1,16 +1,17 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-Vectors are cut into parts of consecutive dimensions; a task holds one part of one block
-of vectors and scores a block of queries against it. A total score is the sum of the
-part scores.
+A task scores a block of queries against a block of vectors. Vectors are cut into parts
+of consecutive dimensions, and a total score is the sum of the part scores.
 
-1. Every part gathers its own k best vectors per query. Their exact totals give, per
-   query, a cutoff: the k-th best of them. No result can score less.
+1. Every part of a block gathers its own k best vectors per query. Their exact totals
+   give, per query, a cutoff: the k-th best of them. No result can score less.
 2. The cutoff goes back with the queries. A vector whose every part score is below the
    cutoff's equal share scores below the cutoff, so the parts collect only entries that
    reach the share.
-3. Part scores that are still missing for a collected vector are computed exactly, and
-   the totals are ranked.
+3. The other part scores of the collected vectors are added, and the totals are ranked.
+
+A task holds all parts of its block, so entries are completed where they are collected.
+It hands on the k best totals per query and block, never a row per collected pair.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +28,12 @@ SCALE = 256
 PARTS = 2
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 2048
-_GROUP = ["dim", "part", "vec_block", "query_block"]
+QUERIES_AT_ONCE = 256
+_GROUP = ["dim", "vec_block", "query_block"]
 _QUERY = ["query_id", "query_copy"]
 _VECTOR = ["vec_id", "vec_copy"]
-_SCORES = (
-    "dim int, query_id long, query_copy int, vec_id long, vec_copy int, part int, score long"
-)
-_NAMES = ["dim", *_QUERY, *_VECTOR, "part", "score"]
+_SCORES = "dim int, query_id long, query_copy int, vec_id long, vec_copy int, score long"
+_NAMES = ["dim", *_QUERY, *_VECTOR, "score"]
 
 
 def _blocks(ids: list[str], n: int) -> Column:
@@ -60,16 +59,6 @@ def integer_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.withColumn("vec_copy", (copy - 1).cast("int"))
 
 
-def _parts(df: DataFrame, parts: int) -> DataFrame:
-    """One row per part: ``v`` becomes the part's own components."""
-    width = F.ceil(F.col("dim") / parts).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.slice("v", p * width + 1, width)
-    )
-    others = [c for c in df.columns if c != "v"]
-    return df.select(*others, F.posexplode(cut).alias("part", "v"))
-
-
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
@@ -86,23 +75,8 @@ def _numeric(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, q
 
 
-def _table(dim, part, queries, vectors, qi, vi, score) -> pa.Table:
-    n = len(score)
-    return pa.Table.from_pydict(
-        {
-            "dim": pa.array(np.full(n, dim), pa.int32()),
-            "query_id": queries["query_id"].take(pa.array(qi)),
-            "query_copy": queries["query_copy"].take(pa.array(qi)),
-            "vec_id": vectors["vec_id"].take(pa.array(vi)),
-            "vec_copy": vectors["vec_copy"].take(pa.array(vi)),
-            "part": pa.array(np.full(n, part), pa.int32()),
-            "score": pa.array(np.asarray(score).astype(np.int64)),
-        }
-    )
-
-
 def _empty() -> pa.Table:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
     return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=_NAMES)
 
 
@@ -110,58 +84,55 @@ def _keys(table: pa.Table, names: list[str]) -> pd.MultiIndex:
     return pd.MultiIndex.from_arrays([table[n].to_numpy() for n in names])
 
 
+def _reaching(line: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n highest values and of all that equal the last of them."""
+    if len(line) <= n:
+        return np.arange(len(line))
+    return np.flatnonzero(line >= np.partition(line, -n)[-n])
+
+
 def _score_block(k: int, parts: int):
-    """A task's work for phases 1 (queries without a cutoff) and 2 (with one)."""
+    """A task's work for phase 1 (queries without a cutoff) and phases 2 and 3 (with one)."""
 
     def score(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        dim, part = key[0].as_py(), key[1].as_py()
         if not vectors.num_rows or not queries.num_rows:
             return _empty()
         v, q = _numeric(_matrix(vectors["v"], vectors.num_rows), _matrix(queries["v"], queries.num_rows))
+        width = -(-v.shape[1] // parts)
+        cuts = [slice(p * width, (p + 1) * width) for p in range(parts)]
         own = _keys(vectors, _VECTOR).get_indexer(_keys(queries, _QUERY))
-        cutoff = queries["cutoff"].to_pandas().to_numpy(float)
-        first = queries["first"].to_numpy(zero_copy_only=False).astype(bool)
-        qi, vi, found = [], [], []
+        shares = [c if c is None else -(-c // parts) for c in queries["cutoff"].to_pylist()]
+        gather = queries["gather"].to_pylist()
         names, copies = vectors["vec_id"].to_numpy(), vectors["vec_copy"].to_numpy()
-        for at in range(0, len(q), 256):
-            s = q[at : at + 256] @ v.T
-            for row in range(len(s)):
-                i, line = at + row, s[row]
-                if first[i]:
-                    # The k best of this part, ties to the smaller id; one more for the query itself.
-                    bar = np.partition(line, -(k + 1))[-(k + 1)] if len(line) > k + 1 else line.min()
-                    near = np.flatnonzero(line >= bar)
-                    near = near[np.lexsort((copies[near], names[near], -line[near]))][: k + 1]
-                elif np.isnan(cutoff[i]):
-                    near = np.arange(len(line))
+        qi, vi, totals = [], [], []
+        for at in range(0, len(q), QUERIES_AT_ONCE):
+            by_part = [q[at : at + QUERIES_AT_ONCE, c] @ v[:, c].T for c in cuts]
+            for row in range(len(by_part[0])):
+                i = at + row
+                lines = [s[row] for s in by_part]
+                if gather[i]:
+                    # One more than k, for the query itself may be among them.
+                    near = np.unique(np.concatenate([_reaching(line, k + 1) for line in lines]))
+                elif shares[i] is None:
+                    near = np.arange(len(names))
                 else:
-                    near = np.flatnonzero(line * parts >= cutoff[i])
+                    near = np.flatnonzero(np.logical_or.reduce([line >= shares[i] for line in lines]))
                 near = near[near != own[i]]
-                qi.append(np.full(len(near), i))
-                vi.append(near)
-                found.append(line[near])
-        return _table(dim, part, queries, vectors, np.concatenate(qi), np.concatenate(vi), np.concatenate(found))
+                total = sum(line[near] for line in lines)
+                top = _reaching(total, k)
+                near, total = near[top], total[top]
+                order = np.lexsort((copies[near], names[near], -total))[:k]
+                qi.append(np.full(len(order), i))
+                vi.append(near[order])
+                totals.append(total[order].astype(np.int64))
+        qi, vi, totals = (pa.array(np.concatenate(x)) for x in (qi, vi, totals))
+        ends = [queries[n].take(qi) for n in _QUERY] + [vectors[n].take(vi) for n in _VECTOR]
+        dims = pa.array(np.full(len(totals), key[0].as_py()), pa.int32())
+        return pa.Table.from_arrays([dims, *ends, totals], names=_NAMES)
 
     return score
 
 
-def _resolve_block(key: tuple, vectors: pa.Table, requests: pa.Table) -> pa.Table:
-    """Exact part scores of the requested pairs that lie in this block."""
-    dim, part = key[0].as_py(), key[1].as_py()
-    pairs = requests.filter(pc.is_valid(requests["vec_id"]))
-    if not vectors.num_rows or not pairs.num_rows:
-        return _empty()
-    queries = requests.filter(pc.is_null(requests["vec_id"]))
-    vi = _keys(vectors, _VECTOR).get_indexer(_keys(pairs, _VECTOR))
-    qi = _keys(queries, _QUERY).get_indexer(_keys(pairs, _QUERY))
-    v, q = _numeric(_matrix(vectors["v"], vectors.num_rows), _matrix(queries["v"], queries.num_rows))
-    out = np.empty(len(vi), np.int64)
-    for at in range(0, len(vi), 65_536):
-        some = slice(at, at + 65_536)
-        out[some] = (v[vi[some]] * q[qi[some]]).sum(axis=1)
-    return _table(dim, part, queries, vectors, qi, vi, out)
-
-
 class _Search:
     """The blocks of vectors and queries, and the passes over them."""
 
@@ -169,45 +140,23 @@ class _Search:
         self.k, self.parts = k, parts
         self.vec_blocks = blocks_for(vectors.count(), VECTORS_PER_BLOCK)
         self.query_blocks = blocks_for(queries.count(), QUERIES_PER_BLOCK)
-        self.vec_block = _blocks(_VECTOR, self.vec_blocks)
-        self.query_block = _blocks(_QUERY, self.query_blocks)
         copies = F.explode(F.sequence(F.lit(0), F.lit(self.query_blocks - 1))).alias("query_block")
-        split = _parts(vectors, parts).withColumn("vec_block", self.vec_block)
-        self.vectors = split.select("dim", "part", "vec_block", copies, *_VECTOR, "v")
-        self.split_queries = _parts(queries, parts).withColumn("query_block", self.query_block)
-
-    def _everywhere(self, queries: DataFrame) -> DataFrame:
-        """Queries go to every block of vectors: one copy per block, no pairs."""
-        blocks = F.explode(F.sequence(F.lit(0), F.lit(self.vec_blocks - 1))).alias("vec_block")
-        return queries.select("*", blocks)
+        placed = vectors.withColumn("vec_block", _blocks(_VECTOR, self.vec_blocks))
+        self.vectors = placed.select("dim", "vec_block", copies, *_VECTOR, "v")
+        self.queries = queries.withColumn("query_block", _blocks(_QUERY, self.query_blocks))
 
     def score(self, cutoffs: DataFrame | None) -> DataFrame:
-        queries = self.split_queries
+        """The k best totals per query and block that a pass finds."""
+        queries = self.queries
         if cutoffs is None:
-            queries = queries.withColumn("cutoff", F.lit(None).cast("double"))
+            queries = queries.withColumn("cutoff", F.lit(None).cast("long"))
         else:
             queries = queries.join(cutoffs, ["dim", *_QUERY], "left")
-        queries = queries.withColumn("first", F.lit(cutoffs is None))
-        right = self._everywhere(queries).groupBy(*_GROUP)
-        left = self.vectors.groupBy(*_GROUP)
-        return left.cogroup(right).applyInArrow(_score_block(self.k, self.parts), _SCORES)
-
-    def resolve(self, pairs: DataFrame) -> DataFrame:
-        """Part scores of ``dim, query, vector, part`` rows, where the parts lie."""
-        asked = pairs.withColumn("vec_block", self.vec_block).withColumn("query_block", self.query_block)
-        queries = self._everywhere(self.split_queries)
-        requests = queries.unionByName(asked, allowMissingColumns=True)
-        left = self.vectors.groupBy(*_GROUP)
-        return left.cogroup(requests.groupBy(*_GROUP)).applyInArrow(_resolve_block, _SCORES)
-
-    def totals(self, known: DataFrame) -> DataFrame:
-        """Exact totals of the pairs of which at least one part score is known."""
-        pair = ["dim", *_QUERY, *_VECTOR]
-        seen = known.groupBy(*pair).agg(F.collect_set("part").alias("seen"))
-        every = F.sequence(F.lit(0), F.lit(self.parts - 1))
-        missing = seen.select(*pair, F.explode(F.array_except(every, "seen")).alias("part"))
-        scores = known.unionByName(self.resolve(missing))
-        return scores.groupBy(*pair).agg(F.sum("score").alias("score"))
+        # Queries go to every block of vectors: one copy per block, no pairs.
+        blocks = F.explode(F.sequence(F.lit(0), F.lit(self.vec_blocks - 1))).alias("vec_block")
+        everywhere = queries.withColumn("gather", F.lit(cutoffs is None)).select("*", blocks)
+        grouped = self.vectors.groupBy(*_GROUP).cogroup(everywhere.groupBy(*_GROUP))
+        return grouped.applyInArrow(_score_block(self.k, self.parts), _SCORES)
 
 
 def top_k(
@@ -223,22 +172,17 @@ def top_k(
     Ties go to the smaller id. Vectors are compared with those of their own length. Of
     rows that share an id each is a candidate and, if it is a query, a query of its own.
     A query without other rows has no result; an empty table gives an empty result.
+    Components so large that an inner product may not fit 64 bits end the job with an
+    ``OverflowError``.
     """
     vectors = save_stage(integer_vectors(df, id_col, vector), "vectors")
     own_names = {"vec_id": "query_id", "vec_copy": "query_copy"}
     queries = save_stage(vectors.filter(is_query).withColumnsRenamed(own_names), "queries")
     search = _Search(vectors, queries, k, parts)
 
-    best = [F.desc("score"), "vec_id", "vec_copy"]
-    per_part = Window.partitionBy("dim", *_QUERY, "part").orderBy(*best)
-    per_query = Window.partitionBy("dim", *_QUERY).orderBy(*best)
-
-    lists = search.score(None).withColumn("rank", F.row_number().over(per_part))
-    gathered = save_stage(lists.filter(F.col("rank") <= k).drop("rank"), "local-lists")
-    ranked = search.totals(gathered).withColumn("rank", F.row_number().over(per_query))
-    cutoffs = ranked.filter(F.col("rank") == k).select(
-        "dim", *_QUERY, F.col("score").cast("double").alias("cutoff")
-    )
-    collected = save_stage(search.score(save_stage(cutoffs, "cutoffs")), "collected")
-    final = search.totals(collected).withColumn("rank", F.row_number().over(per_query))
+    per_query = Window.partitionBy("dim", *_QUERY).orderBy(F.desc("score"), "vec_id", "vec_copy")
+    rank = F.row_number().over(per_query)
+    gathered = search.score(None).withColumn("rank", rank)
+    cutoffs = gathered.filter(F.col("rank") == k).select("dim", *_QUERY, F.col("score").alias("cutoff"))
+    final = search.score(save_stage(cutoffs, "cutoffs")).withColumn("rank", rank)
     return final.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
