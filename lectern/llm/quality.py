@@ -69,8 +69,9 @@ def shares(text: bytes | None) -> list[float]:
 class Features:
     """Log frequencies of places and shares of many texts, one row per text."""
 
-    def __init__(self, counts: list[np.ndarray], of_shares: list[list[float]]):
-        self.places = np.array(counts, np.float32).reshape(-1, PLACES)
+    def __init__(self, counts: np.ndarray, of_shares: list[list[float]]):
+        """Takes ``counts`` over: a float32 matrix is changed in place."""
+        self.places = counts.astype(np.float32, copy=False).reshape(-1, PLACES)
         np.log1p(self.places, out=self.places)
         self.shares = np.array(of_shares, np.float32).reshape(-1, 4)
 
@@ -83,7 +84,7 @@ class Features:
 
 
 def features(texts: list[bytes | None]) -> Features:
-    return Features([trigram_counts(t) for t in texts], [shares(t) for t in texts])
+    return Features(np.array([trigram_counts(t) for t in texts], np.float32), [shares(t) for t in texts])
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -146,9 +147,12 @@ def labelled_sample(
     counted = texts.select("doc_id", "quality", "text").mapInArrow(
         latent_features, "doc_id long, quality int, counts binary, shares array<double>"
     )
-    rows = list(counted.orderBy("doc_id").toLocalIterator())
-    found = Features([np.frombuffer(r.counts, "<i4") for r in rows], [r.shares for r in rows])
-    return found, np.array([r.quality for r in rows], np.float64)
+    counts, of_shares, marks = np.zeros((2 * per_class, PLACES), np.float32), [], []
+    for row in counted.orderBy("doc_id").toLocalIterator():
+        counts[len(marks)] = np.frombuffer(row.counts, "<i4")
+        of_shares.append(row.shares)
+        marks.append(row.quality)
+    return Features(counts[: len(marks)], of_shares), np.array(marks, np.float64)
 
 
 @dataclass(frozen=True)
