@@ -15,8 +15,10 @@ not enough, make no rows. What passes is verified on all shingles, hashed to 64
 of the texts, which are read from the documents again; a text that many others are
 compared with is sent once for a block of them.
 
-Texts with equal sets are taken together first. A large group of near copies would
-still have a square number of links. Only components are asked for, so each text
+Texts with equal sets are taken together first. A caller may propose pairs (``simhash``
+does, from its tree); they are verified before any join, and sets that they link are not
+compared again. A large group of near copies would still have a square number of links.
+Only components are asked for, so each text
 is first compared with a few leaders of its prefix shingles, and pairs that are linked
 already are left out; when what is left is few, or a round of leaders leaves more than
 half of it, all pairs between different components are compared.
@@ -25,7 +27,7 @@ half of it, all pairs between different components are compared.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -51,8 +53,9 @@ PAIRS_PER_ROW = 8
 MARK_WORDS = 8
 # Texts that are verified against one text in one block.
 BLOCK_PAIRS = 1024
+_SLICE = 65_536
 _MARK = [f"m{k}" for k in range(MARK_WORDS)]
-_SETS = "doc_id long, key binary, size int, high long, low long, prefix array<long>, "
+_SETS = "doc_id long, key binary, size int, high long, low long, fp long, prefix array<long>, "
 _SETS += ", ".join(f"{m} long" for m in _MARK)
 
 
@@ -95,8 +98,17 @@ def set_mark(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
+def set_fingerprint(own: np.ndarray) -> np.ndarray:
+    """SimHash of a set: the bits that more than half of its hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), _SLICE):
+        rows = own[at : at + _SLICE].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(own), bitorder="little").view("<i8")[0]
+
+
 def prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Every document's key, its set's size, a 128-bit hash of the set, prefix and mark."""
+    """Every document's key, its set's size, 128-bit hash, SimHash, prefix and mark."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, n))
 
     def prefix(own: np.ndarray) -> np.ndarray:
@@ -110,18 +122,20 @@ def prefixes(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            sizes, keys, firsts, marks = [], [], [], []
+            sizes, keys, prints, firsts, marks = [], [], [], [], []
             for _, own in hashed_sets(as_bytes(batch.column(2)), n, hasher):
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.append(set_fingerprint(own))
                 firsts.append(prefix(own).view(np.int64) if len(own) else own.view(np.int64))
                 marks.append(set_mark(own))
             key = np.array([np.frombuffer(k, "<i8") for k in keys], np.int64).reshape(-1, 2)
             columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32())]
-            columns += [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(firsts, pa.list_(pa.int64()))]
+            columns += [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(prints, pa.int64())]
+            columns.append(pa.array(firsts, pa.list_(pa.int64())))
             mark = np.array(marks, np.int64).reshape(-1, MARK_WORDS)
             columns += [pa.array(mark[:, k]) for k in range(MARK_WORDS)]
-            names = ["doc_id", "key", "size", "high", "low", "prefix", *_MARK]
+            names = ["doc_id", "key", "size", "high", "low", "fp", "prefix", *_MARK]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "key", "text").mapInArrow(run, _SETS)
@@ -166,6 +180,9 @@ def verified(pairs: DataFrame, keys: DataFrame, texts: DataFrame, n: int, thresh
     return ordered.mapInArrow(check, "a long, b long")
 
 
+Propose = Callable[[DataFrame], DataFrame]
+
+
 def _fits(threshold: float) -> Column:
     """Can two sets with a shingle at these places of their order, and these marks, be similar enough?"""
     both = F.col("size") + F.col("other_size")
@@ -183,19 +200,36 @@ def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return fine.select(a.alias("a"), b.alias("b")).distinct()
 
 
-def similar_links(prefixed: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame | None:
+def _relabelled(live: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings with the roots that the links give, of shingles that several components have."""
+    roots = components(links, "a", "b").withColumnRenamed("root", "newer")
+    rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("newer", "root")).drop("newer")
+    rooted = save_stage(rooted, "postings")
+    open_ = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    return save_stage(rooted.join(open_.select("shingle"), "shingle", "left_semi"), "postings")
+
+
+def similar_links(
+    prefixed: DataFrame, texts: DataFrame, n: int, threshold: float, propose: Propose | None = None
+) -> DataFrame | None:
     """Links ``a, b`` that join exactly the nodes linked by similar pairs.
 
-    ``prefixed`` has a row for each distinct set: ``node, doc_id, key, size, prefix`` and
-    the mark; ``texts`` has ``doc_id, key, text``.
+    ``prefixed`` has a row for each distinct set: ``node, doc_id, key, size, fp, prefix``
+    and the mark; ``texts`` has ``doc_id, key, text``. Pairs that ``propose`` gives for
+    ``node, fp`` are verified first.
     """
-    keys, marks = prefixed.select("node", "doc_id", "key"), prefixed.select("node", *_MARK)
+    keys = prefixed.select("node", "doc_id", "key")
+    marks = prefixed.select("node", *_MARK)
     posted = prefixed.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
     shared = posted.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
     # The planner takes an exploded array for one row; a merge join keeps it from broadcasting postings.
     live = save_stage(posted.hint("merge").join(shared, "shingle").withColumn("root", F.col("node")), "postings")
     fields = ["node", "size", "at", "root", *_MARK]
     links, leading, turn, before = None, True, 0, math.inf
+    if propose is not None:
+        proposed = save_stage(propose(prefixed.filter("size > 0").select("node", "fp")), "proposed")
+        links = save_stage(verified(proposed, keys, texts, n, threshold), "similar")
+        live = live if links.isEmpty() else _relabelled(live, links)
     while True:
         per_root = live.groupBy("shingle", "root").agg(F.count("*").cast("double").alias("n"))
         per_shingle = per_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
@@ -204,11 +238,12 @@ def similar_links(prefixed: DataFrame, texts: DataFrame, n: int, threshold: floa
             return links
         last = not leading or crossing[0] <= PAIRS_PER_ROW * crossing[1] or crossing[0] > before / 2
         before = crossing[0]
-        marked = live.join(marks, "node").select("shingle", *fields)
         if last:
+            marked = live.join(marks, "node").select("shingle", *fields)
             other = marked.select("shingle", *[F.col(c).alias(f"other_{c}") for c in fields])
             found = marked.hint("merge").join(other, "shingle").filter("node > other_node")
         else:
+            marked = live.join(marks, "node").select("shingle", *fields)
             salts = [F.xxhash64("node", F.lit(turn * LEADERS + k)) for k in range(LEADERS)]
             member = F.struct("node", "size", "at", "root")
             leaders = live.groupBy("shingle").agg(*[F.min_by(member, s).alias(f"l{k}") for k, s in enumerate(salts)])
@@ -223,11 +258,7 @@ def similar_links(prefixed: DataFrame, texts: DataFrame, n: int, threshold: floa
             return links
         leading, turn = not new.isEmpty(), turn + 1
         if leading:
-            roots = components(links, "a", "b").withColumnRenamed("root", "newer")
-            rooted = live.join(roots, "node", "left").withColumn("root", F.coalesce("newer", "root")).drop("newer")
-            rooted = save_stage(rooted, "postings")
-            open_ = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-            live = save_stage(rooted.join(open_.select("shingle"), "shingle", "left_semi"), "postings")
+            live = _relabelled(live, links)
 
 
 def similar_documents(
@@ -236,6 +267,7 @@ def similar_documents(
     text_col: str = "text",
     shingle: int = SHINGLE,
     threshold: float = THRESHOLD,
+    propose: Propose | None = None,
 ) -> DataFrame:
     """``doc_id, component_id`` of every document, linked where Jaccard reaches ``threshold``.
 
@@ -243,6 +275,8 @@ def similar_documents(
     text shorter than a shingle is one shingle of all its words. Texts without words are
     linked with each other. ``component_id`` is the smallest id of the component; a row
     with a null id takes part, and a component of such rows alone has a null id.
+    ``propose`` makes pairs ``a, b`` of nodes from ``node, fp``, the sets' fingerprints;
+    it speeds the search up and leaves the result as it is.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5("text")))
@@ -251,7 +285,7 @@ def similar_documents(
     sets = own.groupBy("high", "low").agg(F.min("row").alias("node"), F.min("doc_id").alias("lowest"))
     sets = save_stage(sets, "distinct")
     firsts = own.withColumnRenamed("row", "node").join(sets.select("node"), "node", "left_semi")
-    links = similar_links(firsts, rows, shingle, threshold)
+    links = similar_links(firsts, rows, shingle, threshold, propose)
     rooted = sets.withColumn("root", F.col("node"))
     if links is not None:
         roots = components(links, "a", "b")

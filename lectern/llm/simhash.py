@@ -14,7 +14,7 @@ small blocks that are compared bit by bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,8 @@ from lectern.llm.resemblance import similar_documents
 
 SHINGLE = 3
 MAX_BITS = 2
+# Reach of the tree where similar sets are sought: at four bits and more it hardly prunes.
+SET_BITS = 3
 SEED = 42
 # Fingerprints that the tree is grown on, at most, and how many a leaf should search.
 SAMPLE = 65_536
@@ -122,8 +124,8 @@ class Tree:
             stack.append((node.outer, at[distances > node.radius - reach]))
 
 
-def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs within ``reach`` bits; a pair may come more than once."""
+def _blocks(points: np.ndarray, reach: int) -> Iterator[np.ndarray]:
+    """Positions, ascending, that are compared with one another; pairs within ``reach`` meet."""
     stack = [np.arange(len(points))]
     while stack:
         at = stack.pop()
@@ -135,6 +137,13 @@ def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np
             if radius >= 0 and max(len(inner), len(outer)) < 0.9 * len(at):
                 stack += [inner, outer]
                 continue
+        yield at
+
+
+def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within ``reach`` bits; a pair may come more than once."""
+    for at in _blocks(points, reach):
+        own = points[at]
         for i in range(0, len(at), 256):
             near = np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= reach
             a, b = np.nonzero(near)
@@ -144,6 +153,22 @@ def close_pairs(points: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np
                 yield at[a[ahead]], at[b[ahead]]
 
 
+def nearest_before(points: np.ndarray, reach: int) -> np.ndarray:
+    """Of each point the position of the nearest one before it within ``reach`` bits, else its own."""
+    found, best = np.arange(len(points)), np.full(len(points), reach + 1, np.uint8)
+    for at in _blocks(points, reach):
+        own = points[at]
+        for i in range(0, len(at), 128):
+            rows = at[i : i + 128]
+            distances = np.bitwise_count(own[i : i + 128, None] ^ own[None, : i + len(rows)])
+            distances[:, i:][np.triu_indices(len(rows))] = 255
+            nearest = distances.argmin(axis=1)
+            distance = distances[np.arange(len(rows)), nearest]
+            better = distance < best[rows]
+            best[rows[better]], found[rows[better]] = distance[better], at[nearest[better]]
+    return found
+
+
 def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest position that each position is linked with, within one task."""
     root = np.arange(n)
@@ -159,16 +184,15 @@ def local_roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return root
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE) -> DataFrame:
-    """Links ``a, b`` that join exactly the fingerprints linked within ``max_bits``.
+def _in_leaves(fps: DataFrame, max_bits: int, sample: int, partner: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``a, b``: fingerprints and the ones at the positions that ``partner`` finds in a leaf's sorted ones.
 
-    ``fps`` has distinct ``fp``. A leaf hands on one link per fingerprint that has one,
-    to the smallest of its group there, not all pairs.
+    ``fps`` has distinct ``fp``.
     """
     count = fps.count()
     # A leaf holds its share of the fingerprints, as far as the sample can tell.
     chosen = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample)
-    known = np.array([r.fp for r in chosen.collect()], np.int64).view(np.uint64)
+    known = chosen.toArrow()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     per_leaf = max(16, LEAF * len(known) // max(1, count))
     tree = Tree(known, per_leaf)
     sent = fps.sparkSession.sparkContext.broadcast(tree)
@@ -184,14 +208,37 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, sample: int = SA
 
     def search(group: pa.Table) -> pa.Table:
         points = np.sort(group["fp"].to_numpy())
-        roots = points[local_roots(len(points), close_pairs(points.view(np.uint64), max_bits))]
-        linked = roots != points
-        return pa.table({"a": points[linked], "b": roots[linked]})
+        partners = points[partner(points.view(np.uint64))]
+        linked = partners != points
+        return pa.table({"a": points[linked], "b": partners[linked]})
 
     dealt = fps.select("fp").mapInArrow(deal, "leaf int, fp long")
     return dealt.groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
+def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, sample: int = SAMPLE) -> DataFrame:
+    """Links ``a, b`` that join exactly the fingerprints linked within ``max_bits``.
+
+    ``fps`` has distinct ``fp``. A leaf hands on one link per fingerprint that has one,
+    to the smallest of its group there, not all pairs.
+    """
+    return _in_leaves(fps, max_bits, sample, lambda points: local_roots(len(points), close_pairs(points, max_bits)))
+
+
+def close_sets(sets: DataFrame, max_bits: int = SET_BITS, sample: int = SAMPLE) -> DataFrame:
+    """Pairs ``a, b`` of nodes whose fingerprints lie within ``max_bits``, few for each node.
+
+    ``sets`` has ``node, fp``. Of equal fingerprints the smallest node stands for all and
+    is paired with each; it is paired with the nearest smaller one of every leaf it is in.
+    """
+    least = save_stage(sets.groupBy("fp").agg(F.min("node").alias("lowest")), "distinct")
+    near = _in_leaves(least.select("fp"), max_bits, sample, lambda points: nearest_before(points, max_bits))
+    ends = near.join(least.toDF("a", "node"), "a").join(least.toDF("b", "other"), "b")
+    equal = sets.join(least.toDF("fp", "other"), "fp").filter("node <> other")
+    both = ends.select("node", "other").unionByName(equal.select("node", "other"))
+    return both.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -226,10 +273,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Of each class of similar documents the rows with the smallest id, as they came.
 
     Classes are those of ``resemblance``: five-word shingles with an exact Jaccard
-    similarity of 0.8 or more; fingerprints are not used here. Rows that repeat the
-    kept id all stay, and so do rows without an id.
+    similarity of 0.8 or more. The tree of fingerprints proposes pairs, which are
+    verified; similar pairs that lie further apart in bits than the tree reaches are
+    found by their rare shingles. Rows that repeat the kept id all stay, and so do rows
+    without an id.
     """
-    classes = similar_documents(docs, id_col, text_col)
+    classes = similar_documents(docs, id_col, text_col, propose=close_sets)
     name = free_name(docs, "_gone")
     gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
