@@ -6,22 +6,24 @@ global order, and two sets that are similar enough share one of each other's fir
 frequent in a sample of documents come last, so that common lines seldom lie in a
 prefix.
 
-A shared shingle becomes a pair only if two more exact tests let it: the places of the
-shingle in both orders, and a mark of 512 bits per set in which every shingle flips one
-bit. Bits in which two marks differ are no more than the shingles that only one of the
-sets has, so a pair with more of them than the threshold allows is ruled out without
-its texts. Both are conditions of the join: sets of a large group that are alike, but
-not enough, make no rows. What passes is verified on all shingles, hashed to 64 bits,
-of the texts, which are read from the documents again; a text that many others are
-compared with is sent once for a block of them.
+A shared shingle becomes a pair only if three more exact tests let it: that it is not
+known to be a later one than the first that both sets have, its places in both orders
+(the first shared one has nothing shared before it), and a mark of 512 bits per set in
+which every shingle flips one bit. Bits in which two marks differ are no more than the
+shingles that only one of the sets has, so a pair with more of them than the threshold
+allows is ruled out without its texts. All are conditions of the join: sets of a large
+group that are alike, but not enough, make no rows, and a pair makes about one row. What
+passes is verified on all shingles, hashed to 64 bits, of the texts, which are read from
+the documents again; a text that many others are compared with is sent once for a block
+of them.
 
 Texts with equal sets are taken together first. A caller may propose pairs (``simhash``
 does, from its tree); they are verified before any join, and sets that they link are not
 compared again. A large group of near copies would still have a square number of links.
-Only components are asked for, so each text
-is first compared with a few leaders of its prefix shingles, and pairs that are linked
-already are left out; when what is left is few, or a round of leaders leaves more than
-half of it, all pairs between different components are compared.
+Only components are asked for, so in every shingle that has more than a few pairs for
+each of its sets, sets are first compared with a few leaders, and pairs that are linked
+already are left out; when no such shingle is left, or a round of leaders leaves more
+than half of their pairs, all pairs between different components are compared.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +48,18 @@ THRESHOLD = 0.8
 # Documents whose shingles are counted for the order, and frequent shingles kept, at most.
 SAMPLE = 30_000
 FREQUENT = 262_144
-# Leaders of a prefix shingle in one round, and pairs for each row left that are all compared.
+# Leaders of a prefix shingle in one round, and pairs for each of its rows that are all compared.
 LEADERS = 8
 PAIRS_PER_ROW = 8
 # Words of 64 bits in a set's mark.
 MARK_WORDS = 8
 # Texts that are verified against one text in one block.
 BLOCK_PAIRS = 1024
+# Shingles at the start of a prefix that its postings carry along.
+FIRSTS = 4
 _SLICE = 65_536
 _MARK = [f"m{k}" for k in range(MARK_WORDS)]
+_FIRST = [f"f{k}" for k in range(FIRSTS)]
 _SETS = "doc_id long, key binary, size int, high long, low long, fp long, prefix array<long>, "
 _SETS += ", ".join(f"{m} long" for m in _MARK)
 
@@ -184,13 +189,18 @@ Propose = Callable[[DataFrame], DataFrame]
 
 
 def _fits(threshold: float) -> Column:
-    """Can two sets with a shingle at these places of their order, and these marks, be similar enough?"""
+    """Can two sets with these marks, whose first shared shingle has these places, be similar enough?
+
+    False too where one of the first shingles of both shows that they share an earlier one.
+    """
     both = F.col("size") + F.col("other_size")
-    left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
-    shared = F.least("at", "other_at") + left
+    shared = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    places = [(j, k) for j in range(FIRSTS) for k in range(FIRSTS)]
+    # A prefix that is shorter has a null, but no posting behind that place.
+    met = [(F.col(f"f{j}") == F.col(f"other_f{k}")) & (F.col("at") > j) & (F.col("other_at") > k) for j, k in places]
     differing = reduce(add, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"other_{m}"))) for m in _MARK])
     placed = shared * (1 + threshold) >= threshold * both - 1e-9
-    return placed & (differing * (1 + threshold) <= (1 - threshold) * both + 1e-9)
+    return placed & (differing * (1 + threshold) <= (1 - threshold) * both + 1e-9) & ~reduce(or_, met)
 
 
 def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -219,12 +229,13 @@ def similar_links(
     ``node, fp`` are verified first.
     """
     keys = prefixed.select("node", "doc_id", "key")
-    marks = prefixed.select("node", *_MARK)
+    carried = [*_MARK, *_FIRST]
+    marks = prefixed.select("node", *_MARK, *[F.get("prefix", F.lit(k)).alias(f) for k, f in enumerate(_FIRST)])
     posted = prefixed.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
     shared = posted.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
     # The planner takes an exploded array for one row; a merge join keeps it from broadcasting postings.
     live = save_stage(posted.hint("merge").join(shared, "shingle").withColumn("root", F.col("node")), "postings")
-    fields = ["node", "size", "at", "root", *_MARK]
+    fields = ["node", "size", "at", "root", *carried]
     links, leading, turn, before = None, True, 0, math.inf
     if propose is not None:
         proposed = save_stage(propose(prefixed.filter("size > 0").select("node", "fp")), "proposed")
@@ -233,20 +244,23 @@ def similar_links(
     while True:
         per_root = live.groupBy("shingle", "root").agg(F.count("*").cast("double").alias("n"))
         per_shingle = per_root.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        crossing = per_shingle.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2, F.sum("n")).first()
+        pairs = (F.col("n") * F.col("n") - F.col("own")) / 2
+        busy = save_stage(per_shingle.select("shingle", pairs.alias("pairs"), (pairs > PAIRS_PER_ROW * F.col("n")).alias("busy")), "counts")
+        crossing = busy.agg(F.sum("pairs"), F.sum(F.when(F.col("busy"), F.col("pairs")))).first()
         if not crossing[0]:
             return links
-        last = not leading or crossing[0] <= PAIRS_PER_ROW * crossing[1] or crossing[0] > before / 2
-        before = crossing[0]
+        last = not leading or not crossing[1] or crossing[1] > before / 2
+        before = crossing[1]
         if last:
             marked = live.join(marks, "node").select("shingle", *fields)
             other = marked.select("shingle", *[F.col(c).alias(f"other_{c}") for c in fields])
             found = marked.hint("merge").join(other, "shingle").filter("node > other_node")
         else:
-            marked = live.join(marks, "node").select("shingle", *fields)
+            led = live.join(busy.filter("busy").select("shingle"), "shingle", "left_semi")
+            marked = led.join(marks, "node").select("shingle", *fields)
             salts = [F.xxhash64("node", F.lit(turn * LEADERS + k)) for k in range(LEADERS)]
             member = F.struct("node", "size", "at", "root")
-            leaders = live.groupBy("shingle").agg(*[F.min_by(member, s).alias(f"l{k}") for k, s in enumerate(salts)])
+            leaders = led.groupBy("shingle").agg(*[F.min_by(member, s).alias(f"l{k}") for k, s in enumerate(salts)])
             listed = F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))
             other = leaders.select("shingle", F.explode(listed).alias("other")).select("shingle", "other.*")
             other = other.join(marks, "node").select("shingle", *[F.col(c).alias(f"other_{c}") for c in fields])
