@@ -142,10 +142,20 @@ def _window_hashes(group: Group, other: WordHasher, window: int) -> tuple[np.nda
     return runs(group.hashes, window, _STEPS[0]), runs(other.hashes(group.words), window, _STEPS[1])
 
 
-def _among(values: np.ndarray, listed: list[int] | None) -> np.ndarray:
-    if not listed or not len(values):
+def _listed(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's numbers in order; a null has none."""
+    flat = column.values.to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_pylist()
+    valid = column.is_valid().to_pylist()
+    return [np.sort(flat[i:j]) if v else flat[:0] for i, j, v in zip(ends, ends[1:], valid, strict=False)]
+
+
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are among the listed ones, which are in order?"""
+    if not len(listed) or not len(values):
         return np.zeros(len(values), bool)
-    return np.isin(values.view(np.int64), np.array(listed, np.int64))
+    values = values.view(np.int64)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
 def _window_rows(window: int):
@@ -155,7 +165,7 @@ def _window_rows(window: int):
         hasher, other = WordHasher(), WordHasher(seed=1)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            unlike = batch.column("unlike").to_pylist()
+            unlike = _listed(batch.column("unlike"))
             for group in groups(as_bytes(batch.column("text")), hasher):
                 found = Anchored(group, window)
                 asked = np.zeros(len(found.start), bool)
@@ -193,15 +203,15 @@ def parse(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 def _starts(
     texts: list[bytes | None],
-    copied: list[list[int] | None],
-    repeated: list[list[int] | None],
+    copied: list[np.ndarray],
+    repeated: list[np.ndarray],
     hasher: WordHasher,
     window: int,
 ) -> list[np.ndarray]:
     """For each text the starts of its windows that have an earlier occurrence."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     listed = zip(texts, copied, repeated, strict=True)
-    for group in groups([t if c or r else None for t, c, r in listed], hasher):
+    for group in groups([t if len(c) or len(r) else None for t, c, r in listed], hasher):
         found = Anchored(group, window)
         hashes = runs(group.hashes, window, _STEPS[0])
         for k, row in enumerate(group.rows):
@@ -221,7 +231,7 @@ def _removal(text_at: int, window: int):
         hasher = WordHasher()
         for batch in batches:
             texts = as_bytes(batch.column(text_at))
-            lists = [batch.column(batch.num_columns - k).to_pylist() for k in (2, 1)]
+            lists = [_listed(batch.column(batch.num_columns - k)) for k in (2, 1)]
             n_words, n_removed, factors, kept = [], [], [], []
             for text, starts in zip(texts, _starts(texts, *lists, hasher, window), strict=True):
                 words = text.split() if text else []
