@@ -119,33 +119,37 @@ class _Side:
         if len(starts) == len(units) and self._spelled(ids) == b" " + joined.encode():
             raw = ids.tobytes()
             cuts = [*(starts * ids.itemsize).tolist(), len(raw)]
-            self._known.update((u, raw[i:j]) for u, i, j in zip(units, cuts, cuts[1:], strict=False))
+            self._known.update(zip(units, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
-    def _learn(self, units: list[str], regular: bool) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self._known]
+    def _learn(self, units: set[str], new: set[str], regular: bool) -> None:
+        """Make all of a text's units known; ``new`` are those that are not."""
         if len(self._known) + len(new) > self._cache_units:
             self._old, self._known = self._known, {}
-            new = list(dict.fromkeys(units))
+            new = set(units)
         again = self._old.keys() & new
-        self._known.update((u, self._old[u]) for u in again)
-        left = [u for u in new if u not in again] if again else new
+        self._known.update(zip(again, map(self._old.__getitem__, again), strict=True))
+        new -= again
         # The units of a regular text have neither blanks nor white space at their ends.
-        clean = left if regular else [u for u in left if u and " " not in u and not _IRREGULAR.search(u)]
-        clean = [u for u in clean if _SPACE not in u]
+        clean = list(new) if regular else [u for u in new if u and " " not in u and not _IRREGULAR.search(u)]
+        if _SPACE in "".join(clean):
+            clean = [u for u in clean if _SPACE not in u]
         if clean:
             self._learn_together(clean)
-        for u in left:
-            if u not in self._known:
-                ids = np.array(self.tokens.ids(u), np.uint32)
-                self._known[u] = self._spelled(ids) == b" " + u.encode() and ids.tobytes()
+        for u in new.difference(self._known):
+            ids = np.array(self.tokens.ids(u), np.uint32)
+            self._known[u] = self._spelled(ids) == b" " + u.encode() and ids.tobytes()
 
     def encode(self, units: list[str], regular: bool) -> bytes | None:
         """Ids of all units in a row; None if any of them does not spell itself."""
-        found = list(map(self._known.get, units))
-        if None in found:
-            self._learn(units, regular)
-            found = list(map(self._known.__getitem__, units))
-        return None if False in found else b"".join(found)
+        wanted = set(units)
+        new = wanted.difference(self._known)
+        if new:
+            self._learn(wanted, new, regular)
+        # The join refuses the False of a unit that its ids do not spell.
+        try:
+            return b"".join(map(self._known.__getitem__, units))
+        except TypeError:
+            return None
 
 
 class TokenPair:
